@@ -19,7 +19,7 @@ Q = 2
 #: Rows and bands of the MinHash signature; see ``collision_curve`` for how they were tuned.
 ROWS, BANDS = 3, 40
 #: Least Monge-Elkan similarity of two distinctive parts.
-SIMILAR = 0.9
+SIMILAR = 0.84
 # Words of institution names with their usual short forms. Fixed values.
 INSTITUTION = {
     "university": "univ uni", "institute": "inst instt", "institution": "instn", "technology": "tech technol", "technologies": "", "research": "res rsch", "centre": "ctr cntr center", "laboratory": "lab", "laboratories": "labs",
@@ -124,11 +124,13 @@ class NameParser:
 
     def __init__(self, nicknames: Iterable[tuple[str, str]]):
         self.given: dict[str, set[str]] = {}
+        self.initials: dict[str, set[str]] = {}
         for full, nick in nicknames:
             if full and nick:
                 f, n = folded(full), folded(nick)
                 self.given.setdefault(n, set()).add(f)
                 self.given.setdefault(f, set()).add(f)
+                self.initials.setdefault(f, {f[0]}).add(n[0])
         self.names = sorted(self.given)
 
     def given_of(self, token: str) -> set[str]:
@@ -141,7 +143,7 @@ class NameParser:
         return set()
 
     def parse(self, name: str) -> tuple[str, list[str], str, list[str], str]:
-        """(kind, tokens of the distinctive part, first initial, possible given names, middle initials); kind is "person" or the initials of the institution words."""
+        """(kind, tokens of the distinctive part, possible first initials, possible given names, middle initials); kind is "person" or the initials of the institution words."""
         x = folded(name)
         inside = re.search(r"\(([^()]*)\)", x)
         parts = [p for p in re.split(r"[,;]", re.sub(r"\([^()]*\)", " ", x)) if re.search(r"\w", p)]
@@ -187,7 +189,7 @@ class NameParser:
             comma = len(read) > 1
             givens, rest = (rest[1:], rest[:1]) if comma else (rest[:1], rest[1:])
         possible = sorted({g for t in givens for g in (self.given_of(t) or {t})})
-        first = possible[0][0] if possible else (singles[0] if singles else "")
+        first = "".join(sorted({i for g in possible for i in self.initials.get(g, {g[0]})})) if possible else "".join(singles[:1])
         middle = "".join(singles) if possible else "".join(singles[1:])
         return "person", rest or tokens or [x], first, possible, middle
 
@@ -208,10 +210,8 @@ def same_entity(a: tuple, b: tuple) -> bool:
         if given and given2:
             if not set(given) & set(given2):
                 return False
-        elif first and first2:
-            initials = {g[0] for g in given} | {first} if given else {first}
-            if not initials & ({g[0] for g in given2} | {first2}):
-                return False
+        elif first and first2 and not set(first) & set(first2):
+            return False
         if middle and middle2 and middle != middle2:
             return False
     return True
