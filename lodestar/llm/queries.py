@@ -12,7 +12,7 @@ from lodestar.llm import langid, leakage, mixing, names, residue, sentences, sub
 from lodestar.storage import table
 
 #: Labelled rows that language models and subject terms are fitted on, at most.
-LANGUAGE_ROWS, SUBJECT_ROWS = 3_000, 15_000
+LANGUAGE_ROWS, SUBJECT_ROWS = 2_000, 8_000
 #: Rows of a small fixed table that may come to the driver, at most.
 FIXED_ROWS = 10_000
 
