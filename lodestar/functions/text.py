@@ -72,6 +72,30 @@ def html_escaped(c: Column) -> Column:
     return c
 
 
+# Sequences of a wrong decoding and what they stand for, for display. Fixed values.
+DISPLAY_REPAIRS = [("â€“", "–"), ("â€”", "—"), ("â€™", "’"), ("â€˜", "‘"), ("â€œ", "“"), ("â€", "”"), ("â€¦", "…"), ("Â°C", "°C"), ("Â ", " ")]
+
+
+def display_text(c: Column) -> Column:
+    for wrong, right in DISPLAY_REPAIRS:
+        c = F.replace(c, F.lit(wrong), F.lit(right))
+    return c
+
+
+#: Phrases by which a translation service reports an error in place of a translation. Fixed values.
+TRANSLATION_ERRORS = ("MYMEMORY WARNING", "YOU USED ALL AVAILABLE FREE TRANSLATIONS", "NEXT AVAILABLE IN", "QUERY LENGTH LIMIT EXCEEDED", "INVALID EMAIL")
+
+
+def translation_status(original: Column, translated: Column, status: Column, details: Column) -> Column:
+    """What came of a translation: an error, a used-up quota, the original kept, or a translation."""
+
+    def told(c: Column) -> Column:
+        return F.greatest(F.lit(False), *[F.contains(F.upper(F.coalesce(c, F.lit(""))), F.lit(m)) for m in TRANSLATION_ERRORS])
+
+    text = F.trim(F.coalesce(translated, F.lit("")))
+    return F.when(status.isNotNull() & (status != 200), F.when(status == 429, "quota_exceeded").otherwise("api_error")).when(told(text) | told(details), "quota_exceeded").when((text == "") | (F.lower(text) == F.lower(F.trim(original))), "original_preserved").otherwise("translated")
+
+
 def is_sensitive(c: Column) -> Column:
     return c.rlike(SENSITIVE)
 
@@ -91,7 +115,7 @@ def is_thai(c: Column) -> Column:
 
 def length_bucket(n: Column) -> Column:
     """Bucket of a query length that may be reported in place of the query."""
-    return F.when(n <= 0, "empty").when(n <= 20, "1-20").when(n <= 50, "21-50").when(n <= 100, "51-100").otherwise("101+")
+    return F.when(n <= 0, "0").when(n <= 20, "1-20").when(n <= 50, "21-50").when(n <= 100, "51-100").when(n <= 200, "101-200").otherwise("200+")
 
 
 def trl_label(c: Column) -> Column:
