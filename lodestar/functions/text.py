@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text that must not be learnt: links, addresses, numbers that look like telephone numbers. Fixed value.
 SENSITIVE = r"(?i)(https?://|www\.|@|(\+?\d[\d ().-]{7,}\d))"
@@ -28,7 +29,7 @@ def normalised(c: Column) -> Column:
     return clean_space(F.lower(F.coalesce(c, F.lit(""))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalised_exact(values: pd.Series) -> pd.Series:
     """Search form with compatibility composition, for texts with full-width or ligature characters."""
     return values.map(lambda v: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", v or "").strip().lower()))
@@ -141,7 +142,7 @@ def csv_values(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda v: F.trim(v)), lambda v: v != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def client_address(forwarded: pd.Series, peer: pd.Series) -> pd.Series:
     """Right-most forwarded address if it is one, else the peer, else ``unknown``."""
 
@@ -154,7 +155,7 @@ def client_address(forwarded: pd.Series, peer: pd.Series) -> pd.Series:
     return pd.Series([valid((f or "").split(",")[-1]) or valid(p) or "unknown" for f, p in zip(forwarded, peer)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repaired_encoding(values: pd.Series) -> pd.Series:
     """UTF-8 text that was read as Mac Roman, put right; at most two rounds, other text as it is."""
 

@@ -9,6 +9,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.operators.records import latest_per_key
 from lodestar.storage import shared_path
@@ -17,7 +18,7 @@ from lodestar.storage import shared_path
 _SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{200B}]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(values: pd.Series) -> pd.Series:
     """Canonical composition; texts already composed (all ASCII ones) pass through."""
     return values.map(lambda v: v if v is None or v.isascii() or unicodedata.is_normalized("NFC", v) else unicodedata.normalize("NFC", v))

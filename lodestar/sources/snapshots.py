@@ -32,7 +32,7 @@ def read_snapshot(spark: SparkSession, path: str, schema: str = SNAPSHOT) -> Dat
     if not path_exists(spark, path):
         log.warning("no snapshot at %s", path)
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).option("encoding", "UTF-8").json(path)
+    return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 def read_published(spark: SparkSession, glob: str, schema: str = SNAPSHOT) -> DataFrame:
