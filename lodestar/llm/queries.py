@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import langid, leakage, mixing, names, residue, sentences, subjects, truncation
+from lodestar.operators.snapshots import trimmed_id
 from lodestar.storage import table
 
 #: Labelled rows that language models and subject terms are fitted on, at most.
@@ -75,7 +76,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     model = language_model(spark, d)
     docs = langid.identify(_documents(spark, d), "rec_key", "text", "lang", model, only_cases=True)
     techs = langid.identify(_technologies(spark, d), "rec_key", "text", "lang", model, only_cases=True)
-    titles = table(spark, d, "snapshot_record").where(F.length(F.trim("title_original")) > 0).groupBy(F.trim("id").alias("rec_key")).agg(F.max_by("title_original", F.struct("snapshot_no", "fetched_at", "title_original")).alias("text"))
+    titles = table(spark, d, "snapshot_record").where(F.length(F.trim("title_original")) > 0).groupBy(trimmed_id(F.col("id")).alias("rec_key")).agg(F.max_by("title_original", F.struct("snapshot_no", "fetched_at", "title_original")).alias("text"))
     named = langid.identify(titles, "rec_key", "text", None, model, whole=True)
     parts = [("technology", _without_residue(techs.select("rec_key", "seg_no", "lang").distinct(), spark, d)), ("documents", docs), ("snapshot_record", named)]
     return reduce(DataFrame.unionByName, [p.select(F.lit(t).alias("rec_table"), "rec_key", "seg_no", "lang") for t, p in parts])

@@ -147,6 +147,8 @@ def _cuts(text: str, a: int, b: int) -> list[int]:
             if term.endswith(("...", "…", "‥")):
                 if spaced and not _starts_sentence(body, after) or (not spaced and term[-1] == "." and not nxt.isupper()):
                     continue
+            elif m.start() == 0:
+                continue
             elif not spaced:
                 before = body[m.start() - 1 : m.start()]
                 if not before or not nxt.isalpha() or not _starts_sentence(body, after):
@@ -157,6 +159,8 @@ def _cuts(text: str, a: int, b: int) -> list[int]:
                     continue
                 if before.isdigit() and not nxt.isupper():
                     continue
+            elif "ก" <= body[m.start() - 1] <= "๛" and not nxt.isupper():
+                continue  # Thai writes no stop; a full stop after Thai letters abbreviates
             else:
                 w = _WORD_BEFORE.search(body, max(0, m.start() - 24), m.start())
                 word = w.group() if w else ""
