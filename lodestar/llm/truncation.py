@@ -24,6 +24,8 @@ _TOKEN = re.compile(r"[฀-๿぀-ヿ㐀-鿿]|(?:[^\W฀-๿぀-ヿ㐀-鿿]|[̀-
 TAILS, CHAR_TAILS = (6, 4, 3), (14, 9, 6)
 #: A length is a spike if at least so many values have it, and so many times as many as lengths near it.
 SPIKE, OVER = 4, 6.0
+#: A tail ends a text if at least this share of its other uses end a statement; at a spike of lengths it takes more.
+ENDS, SURELY_ENDS = 0.5, 0.9
 
 
 def _units(text: str) -> list[str]:
@@ -137,7 +139,7 @@ def truncated(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     cut = (
         open_ends.join(best, "id", "left")
         .join(at_spike, "id", "left")
-        .where(F.col("marked") | F.coalesce("spike", F.lit(False)) | (F.coalesce("ends", F.lit(0.0)) < 0.5))
+        .where(F.col("marked") | (F.coalesce("spike", F.lit(False)) & (F.coalesce("ends", F.lit(0.0)) < SURELY_ENDS)) | (F.coalesce("ends", F.lit(0.0)) < ENDS))
         .select("id")
         .distinct()
     )
