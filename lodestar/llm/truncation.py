@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.residue import SLOT, is_message
+from lodestar.llm.residue import SLOT, SLOT_SIGN, is_message
+from lodestar.storage import written
 
 #: Marks that a source or a transfer leaves where it cuts. Fixed values.
 CUT_MARK = re.compile(r"(?:\[\s*(?:\.{2,}|…)\s*\]|\[\s*(?:more|cont(?:inued|\.)?|read more|truncated)\s*\]|\((?:continued|more|truncated|cont\.?)\)|(?:\.{3}|…)?\s*(?:read|view|see|show)\s+(?:full(?:\s+\w+)?|more)|>>|»)\s*$|&#?\w{0,6}$|<[a-z/]?[a-z]{0,5}$|�+\s*$", re.I)
@@ -19,20 +20,24 @@ DOTS = re.compile(r"\s*(?:…|\.{2,})\s*$")
 #: Text that ends a statement. Fixed values.
 TERMINAL = re.compile(r"[.!?。！？।｡؟‼⁈]['\"”’」』）)\]»]*\s*$")
 _SPACELESS = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
-_TOKEN = re.compile(r"[฀-๿぀-ヿ㐀-鿿]|(?:[^\W฀-๿぀-ヿ㐀-鿿]|[̀-ͯऀ-ःऺ-ॏ])+|[.!?。！？।]+(?=\s|$|[\"”’」』）)])|(?<=[。！？।])|(?<=[ก-๛])[ \n]+(?=[ก-๛])")
+_TOKEN = re.compile(r"[฀-๿぀-ヿ㐀-鿿]|(?:[^\W฀-๿぀-ヿ㐀-鿿]|[̀-ͯऀ-ःऺ-ॏ])+|…|\.{2,}|[.!?。！？।]+(?=\s|$|[\"”’」』）)])|(?<=[。！？।])|(?<=[ก-๛])[ \n]+(?=[ก-๛])")
 #: Tail lengths in words, and in characters where words are not spaced, longest first.
 TAILS, CHAR_TAILS = (6, 4, 3), (14, 9, 6)
 #: A length is a spike if at least so many values have it, and so many times as many as lengths near it.
 SPIKE, OVER = 4, 6.0
 #: A tail ends a text if at least this share of its other uses end a statement; at a spike of lengths it takes more.
 ENDS, SURELY_ENDS = 0.5, 0.9
+#: A longest tail that ends so many texts without a stop (one in so many records, three at least) is a fixed ending, not a cut.
+USUAL_PER = 4000
 
 
 def _units(text: str) -> list[str]:
-    """Lower-case words (single characters where words are not spaced) with "." where a statement ends; numbers are masked."""
+    """Lower-case words (single characters where words are not spaced), "." where a statement ends, "…" for an ellipsis; numbers are masked."""
     out = []
     for u in _TOKEN.findall(text.lower()):
-        if not u or u[0] in ".!?。！？।" or u.isspace():
+        if u[:1] == "…" or u[:2] == "..":
+            out.append("…")
+        elif not u or u[0] in ".!?。！？।" or u.isspace():
             out.append(".")
         else:
             out.append("9" if u[0].isdigit() else u)
@@ -46,21 +51,23 @@ def _tail_keys(units: list[str], end: int) -> list[int | None]:
 
 
 def _tail_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: how often each tail ends a statement and how often the text goes on after it."""
+    """Per batch: how often each tail ends a statement, ends the text without a stop, and is followed by more text."""
     for batch in batches:
-        final: dict[int, int] = {}
-        inner: dict[int, int] = {}
+        counts: tuple[dict[int, int], ...] = ({}, {}, {})
         for text in batch.column(0).to_pylist():
             units = _units(text)
-            for i in range(1, len(units) + 1):
-                if units[i - 1] == ".":
+            last = len(units)
+            while last and units[last - 1] == "…":
+                last -= 1
+            for i in range(1, last + 1):
+                if units[i - 1] in ".…":
                     continue
-                into = final if i == len(units) or units[i] == "." else inner
+                into = counts[1] if i == last else counts[0] if units[i] == "." else counts[2]
                 for k in _tail_keys(units, i):
                     if k is not None:
                         into[k] = into.get(k, 0) + 1
-        keys = list(final.keys() | inner.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([final.get(k, 0) for k in keys], pa.int64()), pa.array([inner.get(k, 0) for k in keys], pa.int64())], ["k", "final", "inner"])
+        keys = list(counts[0].keys() | counts[1].keys() | counts[2].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([c.get(k, 0) for k in keys], pa.int64()) for c in counts)], ["k", "ended", "open", "inner"])
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +79,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dots = DOTS.search(text)
             body = text[: dots.start()] if dots else text
             units = [u for u in _units(body)]
-            while units and units[-1] == ".":
+            while units and units[-1] in ".…":
                 units.pop()
             keys = _tail_keys(units, len(units)) if units else [None] * 3
             rows["marked"].append(marked or bool(dots and dots.group().strip() == ".."))
@@ -108,26 +115,27 @@ def truncated(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
 
     Three signs: a mark left where a source cuts; a spike of the source's length
     histogram (characters or bytes) in a value that ends no statement; and, for cuts at
-    any other length, a tail that elsewhere is followed by more text, or that occurs
-    nowhere else, in a value without terminal punctuation. How often a tail ends a
+    any other length, a tail that elsewhere is followed by more text, or that ends no
+    statement elsewhere, in a value without terminal punctuation. How often a tail ends a
     statement is counted over the whole corpus, combined per batch before the shuffle.
 
     Null and blank texts give no rows. Unfilled template slots at the end are set aside
     first and messages of a site count as whole. Repeated rows of an id count once. A null
     source has its own histogram. Other columns are dropped.
     """
-    value = F.regexp_replace(F.col(text), rf"(?:\s*(?:{SLOT}|</?(?:p|div|span)\b[^<>]{{0,40}}>))+\s*$", "")
-    base = df.where(F.length(F.trim(F.col(text))) > 0).select(F.col(id_col).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), value.alias("value"), F.col(text).alias("raw"), is_message(F.col(text)).alias("message"))
+    # a slot ends in a bracket or sign of its notation; other values are spared the pattern
+    closing = F.col(text).rlike(r"[}\])>%_*@!a-zA-Z]\s*$") & F.col(text).rlike(SLOT_SIGN)
+    value = F.when(closing, F.regexp_replace(F.col(text), rf"(?:\s*(?:{SLOT}|</?(?:p|div|span)\b[^<>]{{0,40}}>))+\s*$", "")).otherwise(F.col(text))
+    base = df.where(F.length(F.trim(F.col(text))) > 0).select(F.col(id_col).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), value.alias("value"), F.length(text).alias("chars"), F.octet_length(F.col(text)).alias("bytes"), is_message(F.col(text)).alias("message"))
+    base = written(base, "texts")
     kind = T._parse_datatype_string(f"id {df.schema[id_col].dataType.simpleString()}, source string, marked boolean, dotted boolean, whole boolean, t0 long, t1 long, t2 long, chars int, bytes int")
     real = base.where(~F.col("message") & (F.length("value") > 0))
-    judged = real.select("id", "source", "value", F.length("raw").alias("chars"), F.octet_length("raw").alias("bytes")).mapInArrow(_judged, kind).distinct()
-    tails = real.select("value").mapInArrow(_tail_counts, "k long, final long, inner long").groupBy("k").agg(F.sum("final").alias("final"), F.sum("inner").alias("inner"))
+    judged = written(real.select("id", "source", "value", "chars", "bytes").mapInArrow(_judged, kind).distinct(), "judged")
+    tails = real.select("value").mapInArrow(_tail_counts, "k long, ended long, open long, inner long").groupBy("k").agg(F.sum("ended").alias("ended"), F.sum("open").alias("open"), F.sum("inner").alias("inner"))
     spikes = length_spikes(judged.select("source", "chars", "bytes", (~F.col("whole")).cast("int").alias("open")))
 
     open_ends = judged.where(~F.col("whole") | F.col("marked"))
     asked = open_ends.select("id", F.posexplode(F.array("t0", "t1", "t2")).alias("rank", "k")).where(F.col("k").isNotNull())
-    answered = asked.join(tails, "k").select("id", "rank", (F.col("final") - 1).alias("final"), "inner").where(F.col("final") + F.col("inner") >= 2)
-    best = answered.groupBy("id").agg(F.min_by(F.col("final") / (F.col("final") + F.col("inner")), F.col("rank")).alias("ends"))
     at_spike = (
         open_ends.where(~F.col("whole"))
         .select("id", "source", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("chars").alias("n")), F.struct(F.lit("b").alias("unit"), F.col("bytes").alias("n")))).alias("x"))
@@ -136,6 +144,18 @@ def truncated(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
         .select("id", F.lit(True).alias("spike"))
         .distinct()
     )
+    # fixed endings are counted away from the spikes, where cut values pile up
+    least = max(3, -(-real.count() // USUAL_PER))
+    longest = F.coalesce("t0", "t1", "t2")
+    usual = open_ends.join(at_spike, "id", "left_anti").where(longest.isNotNull()).groupBy(longest.alias("longest")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("longest", F.lit(True).alias("usual"))
+    seen = F.col("ended") + F.col("inner")
+    best = (
+        asked.join(tails, "k")
+        .groupBy("id")
+        .agg(F.min_by(F.col("ended") / seen, F.when(seen >= 2, F.col("rank"))).alias("ends"), F.min_by(F.struct("k", "inner"), "rank").alias("x"))
+        .join(usual, F.col("x.k") == F.col("longest"), "left")
+        .select("id", F.when(F.coalesce("usual", F.lit(False)) & (F.col("x.inner") == 0), 1.0).otherwise(F.col("ends")).alias("ends"))
+    )
     cut = (
         open_ends.join(best, "id", "left")
         .join(at_spike, "id", "left")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,15 +60,16 @@ def cut_ids(spark, rows):
 
 def test_truncation_signs(spark):
     whole = [(f"w{i}", " ".join(r.format(i % 90) for r in REAL), f"s{i % 3}") for i in range(120)]
-    texts = [" ".join(r.format(i) for r in (REAL * 3)) for i in range(40)]
-    spike = [(f"k{i}", t[:150], "spiky") for i, t in enumerate(texts)]
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(REAL).format(rng.randrange(90)) for _ in range(6)) for i in range(400)]
+    spike = [(f"k{i}", t[:151], "spiky") for i, t in enumerate([t for t in texts if t[147:151].isalpha() and t[151].isalpha()][:40])]
     marked = [("m1", REAL[0].format(3)[:-9] + "…", "a"), ("m2", REAL[1].format(4)[:30] + " [more]", "a"), ("m3", REAL[1].format(4)[:40] + "&nbs", "a"), ("m4", "เทคโนโลยี�", "a"), ("m5", REAL[1].format(5) + " Read more", "a")]
     loose = [("l1", REAL[0].format(3) + " " + REAL[1].format(4)[:37], "b"), ("ok1", REAL[2].format(5)[:-1], "b"), ("ok2", REAL[2].format(6) + " {title}", "b"), ("ok3", "404 Not Found", "b")]
     decoy = [(f"d{i}", REAL[i % 3].format(i) + " The list of uses grows each year...", "c") for i in range(12)]
     got, found = cut_ids(spark, whole + spike + marked + loose + decoy)
-    assert got == {r[0] for r in spike} | {"m1", "m2", "m3", "m4", "m5", "l1"}
+    assert got == {r[0] for r in spike} | {"m1", "m2", "m3", "m4", "m5", "l1"} and len(spike) > 20
     rates = {r["source"]: (r["n_records"], r["n_truncated"]) for r in truncation_rates(found).collect()}
-    assert rates["spiky"] == (40, 40) and rates["c"] == (12, 0)
+    assert rates["spiky"] == (len(spike), len(spike)) and rates["c"] == (12, 0)
 
 
 def test_truncation_on_awkward_rows(spark):
