@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
+from lodestar.operators import timelines
 from lodestar.streaming import topics
 from lodestar.storage import table
 
@@ -49,8 +50,7 @@ def tumbling_hourly(spark: SparkSession, d: str) -> DataFrame:
 
 def rate_window_count(spark: SparkSession, d: str) -> DataFrame:
     """Requests of each client in the hour up to each of them (rejected ones included)."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
-    return _events(spark, d).select("event_id", F.count(F.lit(1)).over(w).alias("n_in_hour"))
+    return timelines.trailing_count(_events(spark, d).select("event_id", "user_id", "ts"), "user_id", "ts", 3600, "n_in_hour").select("event_id", "n_in_hour")
 
 
 def quota_grants(spark: SparkSession, d: str) -> DataFrame:
@@ -79,8 +79,7 @@ def event_properties(spark: SparkSession, d: str) -> DataFrame:
 def locf_category(spark: SparkSession, d: str) -> DataFrame:
     """The last heading seen before each row of a user, carried forward."""
     head = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _events(spark, d).select("event_id", F.last(head, ignorenulls=True).over(w).alias("last_heading"))
+    return timelines.carried_forward(_events(spark, d).select("event_id", "user_id", "ts", "event_type"), "user_id", "ts", "event_id", head, "last_heading").select("event_id", "last_heading")
 
 
 def consented_usage(spark: SparkSession, d: str) -> DataFrame:
