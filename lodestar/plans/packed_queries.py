@@ -26,7 +26,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p5_found)}
+#: Holds for the fields of these tables, whose values are listed categories or plain words, and codes.
+_VALUES = r"""WITH e AS (SELECT string_agg(regexp_escape(source_sector), '|' ORDER BY length(source_sector) DESC, source_sector) AS listed FROM source_sector_map),
+t AS (SELECT id, source_sector FROM technology QUALIFY row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC) = 1),
+v AS (SELECT 'technology' AS rec_table, id AS rec_key, regexp_extract_all(regexp_replace(replace(source_sector, '\,', ','), '<[^>]*>', ';', 'g'), (SELECT listed FROM e) || '|[A-Za-z][A-Za-z &-]*[A-Za-z]') AS l FROM t
+ UNION ALL SELECT 'ntb_to_ics', ntb_code, regexp_extract_all(ics_codes, '\d\d(?:\.\d+)?') FROM ntb_to_ics)
+SELECT rec_table, rec_key, CAST(generate_subscripts(l, 1) AS INT) AS pos, trim(unnest(l)) AS value FROM v"""
 SQL = {
+    "p1_found": _VALUES,
     "p5_found": r"""
 WITH cleaned AS (
   SELECT snapshot_no, coalesce(source_id, '') AS src, trim(regexp_replace(id, '[\s\x{A0}\x{3000}]+', ' ', 'g')) AS id, fetched_at,
