@@ -102,12 +102,14 @@ class LanguageModel:
 
 
 def fit_language_model(samples: Iterable[tuple[str, str]], order: int = ORDER) -> LanguageModel:
-    """Interpolated Kneser-Ney models of all languages from (language, text) pairs."""
+    """Interpolated Kneser-Ney models of all languages from (language, text) pairs; a model of none from none."""
     by: dict[str, Counter] = defaultdict(Counter)
     for lang, text in samples:
         if lang and text:
             by[lang].update(TOKEN.findall(text.lower()))
     languages = sorted(by)
+    if not languages:
+        return LanguageModel([], [], [], [], -20.0)
     grams: list[dict[str, Counter]] = [{} for _ in range(order)]
     for lang in languages:
         full: list[Counter] = [Counter() for _ in range(order)]
@@ -251,7 +253,8 @@ def identify(df: DataFrame, key: str, text: str, label: str | None, model: Broad
 
     One narrow Arrow stage without shuffle; the model is fitted on a bounded sample and
     therefore bounded itself, so it is broadcast. Null, empty and letterless texts give
-    no rows; repeated rows give their rows each.
+    no rows, nor does a model of no languages; repeated rows give their rows each. Ties go
+    to the language first in order. Other columns are dropped.
     """
     kind = df.schema[key].dataType
     picked = [c for c in (key, text, label) if c]
@@ -260,7 +263,7 @@ def identify(df: DataFrame, key: str, text: str, label: str | None, model: Broad
         scorer = Scorer(model.value)
         names, reject = scorer.model.languages, scorer.model.reject
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist() if names else [None] * batch.num_rows
             labels = batch.column(2).to_pylist() if label else [None] * len(texts)
             spans = [([(0, len(t))] if t and t.strip() else []) if whole else sentence_spans(t) for t in texts]
             counts = np.fromiter(map(len, spans), np.int64, len(spans))
@@ -300,6 +303,8 @@ def identify(df: DataFrame, key: str, text: str, label: str | None, model: Broad
 
 def calibrated(model: LanguageModel, held_out: Iterable[str], quantile: float = 0.995, slack: float = 1.5) -> LanguageModel:
     """Set the rejection limit from texts of known languages: a high quantile of their best cross-entropies times a slack."""
+    if not model.languages:
+        return model
     cost, size = Scorer(model).costs_of([t.lower() for t in held_out if t])
     known = size > 0
     if known.any():

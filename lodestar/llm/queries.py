@@ -43,7 +43,7 @@ def language_model(spark: SparkSession, d: str) -> Broadcast:
     more = []
     for text, label in bounded_sample(table(spark, d, "documents"), "doc_id", ["text", "lang"], LANGUAGE_ROWS):
         i = place.get(langid.label_code(label))
-        units = [text[a:b] for a, b in sentences.sentence_spans(text)] if i is not None else []
+        units = [text[a:b] for a, b in sentences.sentence_spans(text)] if i is not None and text else []
         if units:
             cost, _ = scorer.costs_of([u.lower() for u in units])
             best = cost.argmin(axis=1)

@@ -76,3 +76,5 @@ def test_truncation_on_awkward_rows(spark):
     rows = [("1", None, "a"), ("2", "", "a"), ("3", "  ", None), ("4", "Good. " * 30000, None), ("4", "Good. " * 30000, None), (None, "Fine.", "a")]
     got, found = cut_ids(spark, rows)
     assert got == set() and found.count() == 2
+    none = spark.createDataFrame([], "id string, summary string, source_id string")
+    assert truncated(none, "id", "summary", "source_id").count() == 0

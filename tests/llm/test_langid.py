@@ -97,6 +97,18 @@ def test_operator(spark, model):
     assert 0 <= sure <= 1
 
 
+def test_no_languages_no_rows(spark):
+    empty = langid.calibrated(langid.fit_language_model([]), ["x"])
+    df = spark.createDataFrame([("a", "The pump is cheap.")], "id string, t string")
+    assert langid.identify(df, "id", "t", None, spark.sparkContext.broadcast(empty)).count() == 0
+
+
+def test_whole_titles_and_columns_that_clash(spark, model):
+    df = spark.createDataFrame([("a", "低コストな予定管理アプリとその装置", 1)], "lang string, t string, seg_no int").withColumnRenamed("lang", "rec")
+    got = langid.identify(df, "rec", "t", None, spark.sparkContext.broadcast(model), whole=True).collect()
+    assert [(r["rec"], r["seg_no"], r["lang"]) for r in got] == [("a", 1, "ja")]
+
+
 def test_labelled_documents_agree(model):
     docs = pd.read_parquet(f"{BIG}/documents.parquet", columns=["text", "lang"]).head(1500)
     scorer = langid.Scorer(model)
