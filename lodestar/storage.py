@@ -36,9 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_MADE: list[str] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, remembered for ``discard_written``."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def discard_written(spark: SparkSession) -> int:
+    """Delete what this process wrote to the shared folder; call it once the results that read from there are stored."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

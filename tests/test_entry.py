@@ -2,6 +2,7 @@ import importlib
 import os
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as driver
@@ -42,3 +43,24 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(names) == sorted(df.columns)
     want = sorted(repr(tuple(plain(r[names.index(c)]) for c in sorted(names))) for r in found.fetchall())
     assert sorted(repr(tuple(plain(r[c]) for c in sorted(names))) for r in df.collect()) == want
+
+
+@pytest.fixture(scope="module")
+def empty(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("empty")
+    for f in os.listdir(DATA):
+        pq.write_table(pq.read_table(f"{DATA}/{f}").slice(0, 0), f"{folder}/{f}")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(CORE))
+def test_query_on_empty_tables(spark, empty, name):
+    CORE[name](spark, empty).collect()
+
+
+def test_nothing_outside_needs_the_text_package():
+    for folder, _, files in os.walk(os.path.join(os.path.dirname(driver.__file__), "lodestar")):
+        for f in files:
+            if f.endswith(".py") and os.sep + "llm" not in folder:
+                with open(os.path.join(folder, f)) as source:
+                    assert "lodestar.llm" not in source.read(), f
