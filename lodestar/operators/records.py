@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str | Column], keep: list[str]) -> DataFrame:
-    """The row with the greatest ``order`` of each key, as one hash aggregation.
+    """The row with the greatest ``order`` of each key, as one aggregation.
 
-    ``max_by`` combines map-side, so a key holding a third of all rows costs no skewed
-    task (a ``row_number`` window would sort the whole group in one). Ties are broken by
+    ``max_by`` combines map-side, so of a key holding a third of all rows one row a task
+    is shuffled (a ``row_number`` window would order the whole group in one task). Derive
+    what is needed before and keep only that: texts then never cross the network. Ties are broken by
     the kept values themselves, so repeated rows give one defined result. Null keys form
     one group; nulls order first. Columns not kept are dropped.
     """

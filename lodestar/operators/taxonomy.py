@@ -82,15 +82,15 @@ def matches_sectors(codes: Column, selected: list[str]) -> Column:
     return hit | (F.size(own) == 0) if OTHER in selected else hit
 
 
-def classified(df: DataFrame, source_sector: str, text: Column, mapping: DataFrame) -> DataFrame:
-    """``df`` with codes, method and confidence: the provider's category where it maps, else keyword rules.
+def classified(df: DataFrame, source_sector: str, by_keyword: Column, mapping: DataFrame) -> DataFrame:
+    """``df`` with codes, method and confidence: the provider's category where it maps, else the codes of keyword rules.
 
-    ``mapping`` has (source_sector, ics_codes). The join is an equi join on the normalised
+    ``by_keyword`` is ``keyword_codes`` of the record's text. ``mapping`` has (source_sector, ics_codes). The join is an equi join on the normalised
     category; whether it is broadcast is left to its measured size.
     """
     keyed = mapping.groupBy(F.lower(F.trim(F.regexp_replace("source_sector", r"\s+", " "))).alias("__sector")).agg(F.max("ics_codes").alias("__mapped"))
     sector = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(source_sector), F.lit("")), r"\s+", " ")))
-    joined = df.withColumns({"__sector": sector, "__found": keyword_codes(text)}).join(keyed, "__sector", "left")
+    joined = df.withColumns({"__sector": sector, "__found": by_keyword}).join(keyed, "__sector", "left")
     exact = F.size(F.coalesce("__mapped", F.array().cast("array<string>"))) > 0
     by_words = F.size("__found") > 0
     codes = F.when(exact, F.col("__mapped")).otherwise(F.col("__found"))

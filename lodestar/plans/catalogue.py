@@ -10,9 +10,14 @@ from lodestar.operators.records import latest_per_key
 from lodestar.storage import table
 
 
-def catalogue(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
-    """The latest row of every record id; only the named columns are read and shuffled."""
-    return latest_per_key(table(spark, d, "technology"), ["id"], ["fetched_at"], ["id", *columns])
+def catalogue(spark: SparkSession, d: str, columns: list[str], **derived: Column) -> DataFrame:
+    """The latest row of every record id; only the named columns are read and shuffled.
+
+    ``derived`` columns are computed from whole rows before rows of one id are combined,
+    so a text that only serves a flag, a code or a hash is not shuffled.
+    """
+    rows = table(spark, d, "technology").withColumns(derived) if derived else table(spark, d, "technology")
+    return latest_per_key(rows, ["id"], ["fetched_at"], ["id", *columns, *derived])
 
 
 SEARCHED = ["title", "summary", "org_name", "keywords"]

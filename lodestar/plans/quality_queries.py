@@ -30,9 +30,9 @@ def project_technology(spark: SparkSession, d: str) -> DataFrame:
 
 def project_public_fields(spark: SparkSession, d: str) -> DataFrame:
     """An allow-list of fields; contact data and links are masked out of the summary."""
-    cat = catalogue(spark, d, ["title", "summary"])
     masked = F.regexp_replace(F.coalesce("summary", F.lit("")), r"(https?://\S+|www\.\S+|\S+@\S+)", "[link]")
-    return cat.select("id", "title", masked.alias("summary")).where(F.col("summary").contains("[link]"))
+    cat = catalogue(spark, d, ["title"], masked=F.when(masked.contains("[link]"), masked))
+    return cat.where(F.col("masked").isNotNull()).select("id", "title", F.col("masked").alias("summary"))
 
 
 def dedupe_first_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +41,7 @@ def dedupe_first_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedupe_richest(spark: SparkSession, d: str) -> DataFrame:
-    rows = catalogue(spark, d, ["title", "org_name", "summary"]).select("id", F.lower(F.coalesce("title", F.lit(""))).alias("t"), F.lower(F.coalesce("org_name", F.lit(""))).alias("o"), F.length(F.coalesce("summary", F.lit(""))).alias("n"))
+    rows = catalogue(spark, d, [], t=F.lower(F.coalesce("title", F.lit(""))), o=F.lower(F.coalesce("org_name", F.lit(""))), n=F.length(F.coalesce("summary", F.lit(""))))
     return maintenance.first_per_key(rows, ["t", "o"], [-F.col("n"), F.col("id")], ["id", "n"]).select("id", F.col("n").alias("summary_chars"))
 
 
@@ -53,12 +53,13 @@ def snapshot_diff_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts of added, removed, changed and shared ids between two snapshots, per source."""
 
     def side(n: int) -> DataFrame:
-        rows = table(spark, d, "snapshot_record").where(F.col("snapshot_no") == n).select("source_id", F.trim("id").alias("id"), "fetched_at", F.xxhash64(F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))).alias("h"), F.coalesce("title", F.lit("")).alias("t"), F.length(F.coalesce("summary", F.lit(""))).alias("l"))
-        return latest_per_key(rows, ["source_id", "id"], ["fetched_at", "t", "l"], ["h"])
+        content = F.md5(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit(""))))
+        rows = table(spark, d, "snapshot_record").where(F.col("snapshot_no") == n).select("source_id", F.trim("id").alias("id"), "fetched_at", content.alias("h"))
+        return latest_per_key(rows, ["source_id", "id"], ["fetched_at"], ["h"])
 
     old, new = side(OLDER).withColumnRenamed("h", "a"), side(NEWER).withColumnRenamed("h", "b")
     both = old.join(new, ["source_id", "id"], "full_outer")
-    return both.groupBy("source_id").agg(F.count_if(F.col("a").isNull()).alias("added"), F.count_if(F.col("b").isNull()).alias("removed"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"))
+    return both.groupBy("source_id").agg(F.count_if(F.col("a").isNull()).alias("added"), F.count_if(F.col("b").isNull()).alias("removed"), F.count_if(F.col("a") != F.col("b")).alias("changed"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"))
 
 
 def snapshot_validation(spark: SparkSession, d: str) -> DataFrame:
@@ -85,8 +86,9 @@ def incremental_pending(spark: SparkSession, d: str) -> DataFrame:
     """Records of the newer snapshot that an index of the older one has not, or has with other content."""
 
     def side(n: int) -> DataFrame:
-        rows = table(spark, d, "snapshot_record").where(F.col("snapshot_no") == n).select(F.trim("id").alias("id"), "fetched_at", "source_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("summary", F.lit("")).alias("summary"))
-        return latest_per_key(rows, ["id"], ["fetched_at", "source_id", "title", "summary"], ["title", "summary"]).select("id", text.content_hash(F.concat("title", F.lit("\n"), "summary")).alias("digest"))
+        digest = text.content_hash(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit(""))))
+        rows = table(spark, d, "snapshot_record").where(F.col("snapshot_no") == n).select(F.trim("id").alias("id"), "fetched_at", digest.alias("digest"))
+        return latest_per_key(rows, ["id"], ["fetched_at"], ["digest"])
 
     return maintenance.pending(side(NEWER), side(OLDER), "id", "digest").select("id", "digest")
 
@@ -130,7 +132,7 @@ def sensitive_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalise_and_hash(spark: SparkSession, d: str) -> DataFrame:
-    return catalogue(spark, d, ["title"]).select("id", text.content_hash(text.normalised(F.col("title"))).alias("digest"))
+    return catalogue(spark, d, [], digest=text.content_hash(text.normalised(F.col("title"))))
 
 
 def stable_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -138,15 +140,16 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keywords_from_title(spark: SparkSession, d: str) -> DataFrame:
-    return catalogue(spark, d, ["title"]).select("id", F.array_join(text.keywords_of(F.col("title")), "|").alias("words"))
+    return catalogue(spark, d, [], words=F.array_join(text.keywords_of(F.col("title")), "|"))
 
 
 def document_text_template(spark: SparkSession, d: str) -> DataFrame:
-    return catalogue(spark, d, SEARCHED).select("id", F.md5(text.document_text(*[F.col(c) for c in SEARCHED])).alias("digest"), F.length(text.document_text(*[F.col(c) for c in SEARCHED])).alias("n_chars"))
+    whole = text.document_text(*[F.col(c) for c in SEARCHED])
+    return catalogue(spark, d, [], digest=F.md5(whole), n_chars=F.length(whole))
 
 
 def searchable_length(spark: SparkSession, d: str) -> DataFrame:
-    return catalogue(spark, d, SEARCHED).select("id", F.length(searchable()).alias("n_chars"))
+    return catalogue(spark, d, [], n_chars=F.length(searchable()))
 
 
 def url_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +212,7 @@ def category_counts(spark: SparkSession, d: str) -> DataFrame:
     return catalogue(spark, d, ["sector", "record_type"]).groupBy(F.coalesce("sector", F.lit("")).alias("sector"), F.coalesce("record_type", F.lit("")).alias("record_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_SIDE = "SELECT source_id, trim(id) AS id, coalesce(title, '') AS t, coalesce(summary, '') AS s FROM snapshot_record WHERE snapshot_no = {0} QUALIFY row_number() OVER (PARTITION BY source_id, trim(id) ORDER BY fetched_at DESC, coalesce(title, '') DESC, length(coalesce(summary, '')) DESC) = 1"
+_SIDE = "SELECT source_id, trim(id) AS id, md5(coalesce(title, '') || chr(10) || coalesce(summary, '')) AS h FROM snapshot_record WHERE snapshot_no = {0} QUALIFY row_number() OVER (PARTITION BY source_id, trim(id) ORDER BY fetched_at DESC, md5(coalesce(title, '') || chr(10) || coalesce(summary, '')) DESC) = 1"
 _STOP = "('" + "', '".join(text.STOP_WORDS) + "')"
 
 
@@ -235,7 +238,7 @@ SELECT k.id, k.source_id, coalesce(s.name, '') AS source_name, coalesce(s.countr
     "dedupe_first_wins": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) = 1",
     "dedupe_richest": f"WITH {CAT} SELECT id, CAST(length(coalesce(summary, '')) AS INT) AS summary_chars FROM cat QUALIFY row_number() OVER (PARTITION BY lower(coalesce(title, '')), lower(coalesce(org_name, '')) ORDER BY length(coalesce(summary, '')) DESC, id) = 1",
     "duplicate_values": f"SELECT kind, value, count(*) AS n FROM (SELECT 'id' AS kind, id AS value FROM technology UNION ALL SELECT 'url', url FROM technology UNION ALL SELECT 'title', {norm('title')} FROM technology) WHERE length(value) > 0 GROUP BY 1, 2 HAVING count(*) > 1",
-    "snapshot_diff_counts": f"WITH a AS ({_SIDE.format(1)}), b AS ({_SIDE.format(2)}) SELECT coalesce(a.source_id, b.source_id) AS source_id, count(*) FILTER (a.id IS NULL) AS added, count(*) FILTER (b.id IS NULL) AS removed, count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) AS shared FROM a FULL JOIN b ON a.source_id = b.source_id AND a.id = b.id GROUP BY 1",
+    "snapshot_diff_counts": f"WITH a AS ({_SIDE.format(1)}), b AS ({_SIDE.format(2)}) SELECT coalesce(a.source_id, b.source_id) AS source_id, count(*) FILTER (a.id IS NULL) AS added, count(*) FILTER (b.id IS NULL) AS removed, count(*) FILTER (a.h <> b.h) AS changed, count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) AS shared FROM a FULL JOIN b ON a.source_id = b.source_id AND a.id = b.id GROUP BY 1",
     "snapshot_validation": """WITH p AS (SELECT source_id, count(*) AS before FROM snapshot_record WHERE snapshot_no = 1 GROUP BY 1),
 r AS (SELECT source_id, trim(coalesce(id, '')) AS id, trim(coalesce(title, '')) AS title, trim(coalesce(url, '')) AS url FROM snapshot_record WHERE snapshot_no = 2),
 i AS (SELECT source_id, id, count(*) AS n FROM r GROUP BY 1, 2),
@@ -244,7 +247,7 @@ d AS (SELECT source_id, count(*) FILTER (n > 1 AND id <> '') AS duplicate_ids FR
 SELECT c.*, d.duplicate_ids, array_to_string(list_filter([CASE WHEN n_rows < 3 THEN 'too few rows' END, CASE WHEN no_id > 0 THEN 'missing ids' END, CASE WHEN no_title > 0 THEN 'missing titles' END, CASE WHEN no_url > 0 THEN 'missing urls' END, CASE WHEN bad_url > 0 THEN 'invalid urls' END, CASE WHEN duplicate_ids > 0 THEN 'duplicate ids' END, CASE WHEN n_rows < floor(before * 0.85::DOUBLE) THEN 'row count dropped' END], lambda x: x IS NOT NULL), '; ') AS errors FROM c JOIN d USING (source_id) LEFT JOIN p USING (source_id)""",
     "enriched_validation": "WITH r AS (SELECT * FROM snapshot_record WHERE title_translation_status IS NOT NULL), a AS (SELECT count(*) AS n, count(*) FILTER (length(trim(coalesce(title, ''))) = 0) AS empty_titles, count(*) FILTER (length(trim(coalesce(summary, ''))) = 0) AS empty_summaries, count(*) FILTER (NOT coalesce(sector_code IN ('" + "', '".join([*taxonomy.TOP_LEVEL, taxonomy.OTHER]) + "'), false)) AS invalid_codes, count(*) FILTER (coalesce(regexp_matches(title, '[\\x{0E00}-\\x{0E7F}]'), false)) AS thai_titles FROM r) SELECT *, thai_titles > greatest(3, ceil(n * 0.02::DOUBLE)) AS too_many_thai FROM a",
     "translation_outcomes": "SELECT CASE WHEN length(title_original) % 7 = 0 THEN 'quota_exceeded' WHEN length(title_original) % 11 = 0 THEN 'api_error' WHEN " + " OR ".join(f"contains(upper(coalesce(title, '')), '{m}')" for m in text.TRANSLATION_ERRORS) + " THEN 'quota_exceeded' WHEN trim(coalesce(title, '')) = '' OR lower(trim(title)) = lower(trim(title_original)) THEN 'original_preserved' ELSE 'translated' END AS status, count(*) AS n FROM snapshot_record WHERE title_original IS NOT NULL GROUP BY 1",
-    "incremental_pending": "WITH s AS (SELECT snapshot_no, trim(id) AS id, sha256(coalesce(title, '') || chr(10) || coalesce(summary, '')) AS digest FROM snapshot_record WHERE snapshot_no IN (1, 2) QUALIFY row_number() OVER (PARTITION BY snapshot_no, trim(id) ORDER BY fetched_at DESC, source_id DESC, coalesce(title, '') DESC, coalesce(summary, '') DESC) = 1) SELECT n.id, n.digest FROM s n LEFT JOIN s o ON o.id = n.id AND o.snapshot_no = 1 WHERE n.snapshot_no = 2 AND (o.id IS NULL OR o.digest <> n.digest)",
+    "incremental_pending": "WITH s AS (SELECT snapshot_no, trim(id) AS id, sha256(coalesce(title, '') || chr(10) || coalesce(summary, '')) AS digest FROM snapshot_record WHERE snapshot_no IN (1, 2) QUALIFY row_number() OVER (PARTITION BY snapshot_no, trim(id) ORDER BY fetched_at DESC, sha256(coalesce(title, '') || chr(10) || coalesce(summary, '')) DESC) = 1) SELECT n.id, n.digest FROM s n LEFT JOIN s o ON o.id = n.id AND o.snapshot_no = 1 WHERE n.snapshot_no = 2 AND (o.id IS NULL OR o.digest <> n.digest)",
     "missing_from_index": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "upsert_latest": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "upsert_terms": "SELECT user_id, event_type, round(max(least(1::DOUBLE, greatest(0::DOUBLE, value / 100))), 6) AS relevance, count(*) AS evidence_count, max(ts) AS last_seen FROM events GROUP BY 1, 2",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import normalised
 from lodestar.functions.vectors import l2_normalised, norm as length_of
 from lodestar.operators import facets, federation, search, taxonomy
-from lodestar.plans.catalogue import CAT, SEARCHABLE, SEARCHED, catalogue, norm, searchable
+from lodestar.plans.catalogue import CAT, SEARCHABLE, catalogue, norm, searchable
 from lodestar.storage import table
 
 QUERY, SECOND_PAGE = "pilot weeks", 2
@@ -21,12 +21,11 @@ QUERY_VECTOR, LOW_SCORE = 1, 0.30
 
 
 def _hits(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
-    cat = catalogue(spark, d, list(dict.fromkeys([*SEARCHED, *columns])))
-    return cat.where(normalised(searchable()).contains(QUERY))
+    return catalogue(spark, d, columns, hit=normalised(searchable()).contains(QUERY)).where("hit")
 
 
 def search_keyword_page(spark: SparkSession, d: str) -> DataFrame:
-    return search.page_of(_hits(spark, d, []).select("id", "title"), [F.col("id")], SECOND_PAGE)
+    return search.page_of(_hits(spark, d, ["title"]).select("id", "title"), [F.col("id")], SECOND_PAGE)
 
 
 def search_keyword_count_by_source(spark: SparkSession, d: str) -> DataFrame:
@@ -115,9 +114,9 @@ def sources_inventory(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
-    cat = catalogue(spark, d, ["title", "summary", "keywords", "source_sector"])
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " "))
-    return taxonomy.classified(cat, "source_sector", text, table(spark, d, "source_sector_map"))
+    cat = catalogue(spark, d, ["source_sector"], found=taxonomy.keyword_codes(text))
+    return taxonomy.classified(cat, "source_sector", F.col("found"), table(spark, d, "source_sector_map"))
 
 
 def classify_records(spark: SparkSession, d: str) -> DataFrame:
@@ -168,10 +167,10 @@ def sector_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _facets(spark: SparkSession, d: str) -> DataFrame:
-    cat = catalogue(spark, d, [*SEARCHED, "source_id", "country", "sector_codes"])
+    cat = catalogue(spark, d, ["source_id", "country", "sector_codes"], hit=F.lower(searchable()).contains(QUERY))
     own = F.filter(F.split(F.coalesce("country", F.lit("")), ", "), lambda c: c != "")
     codes = F.coalesce("sector_codes", F.array().cast("array<string>"))
-    return facets.facet_counts(cat, F.col("id"), F.lower(searchable()).contains(QUERY), F.col("source_id"), own, codes, taxonomy.top_level(codes), SOURCES, COUNTRIES, SELECTED)
+    return facets.facet_counts(cat, F.col("id"), F.col("hit"), F.col("source_id"), own, codes, taxonomy.top_level(codes), SOURCES, COUNTRIES, SELECTED)
 
 
 def facet_all(spark: SparkSession, d: str) -> DataFrame:

@@ -30,7 +30,7 @@ def test_substring_rules_match_inside_words(spark):
 def test_classification_falls_back(spark):
     mapping = spark.createDataFrame([("Farming", ["65"]), ("Misc", [])], "source_sector string, ics_codes array<string>")
     df = spark.createDataFrame([("1", " farming ", "x"), ("2", "Misc", "solar"), ("3", "materials", "steel"), ("4", None, "x")], "id string, s string, t string")
-    got = {r["id"]: (r["codes"], r["method"], r["confidence"]) for r in taxonomy.classified(df, "s", F.col("t"), mapping).collect()}
+    got = {r["id"]: (r["codes"], r["method"], r["confidence"]) for r in taxonomy.classified(df, "s", taxonomy.keyword_codes(F.col("t")), mapping).collect()}
     assert got == {"1": (["65"], "source_mapping", "high"), "2": (["27"], "keyword_fallback", "low"), "3": (["77"], "keyword_mapping", "medium"), "4": ([], "unclassified", "low")}
 
 
