@@ -84,8 +84,8 @@ def mix_sources(df: DataFrame, key: str, text: str, source: str, targets: DataFr
     shards a number by the tokens it holds; a shard takes its leading blocks, going round
     again for further copies. A document belongs to the block its first token falls in.
 
-    Only one row per (source, shard) reaches the driver; a source that holds a third of
-    all rows has as many more shards, so no task orders an unbounded group. Documents of
+    Only one row per (source, shard) reaches the driver; a source has a shard for every
+    ``SHARD_ROWS`` of its documents, so no task orders an unbounded group. Documents of
     sources without target, without source or without tokens are left out; repeated rows
     of a key count as one document. ``selection`` has (doc key, source, tokens, copies),
     ``shares`` the target and actual share, tokens and highest number of copies.
@@ -93,9 +93,13 @@ def mix_sources(df: DataFrame, key: str, text: str, source: str, targets: DataFr
     goal = [(r[0], float(r[1]), int(r[2] or 1)) for r in targets.select("source", "target_share", "max_repeats").where(F.col("target_share") > 0).collect()]
     rows = df.where(F.col(source).isin([g[0] for g in goal])).select(F.col(key).alias("k"), F.col(source).alias("s"), F.col(text).alias("t"))
     counted = token_counts(rows, ["k", "s"], "t", path).groupBy("k", "s").agg(F.max("tokens").alias("tokens")).where(F.col("tokens") > 0)
-    n_shards = max(8, -(-df.count() // SHARD_ROWS))
+    n_rows = {r[0]: r[1] for r in rows.groupBy("s").count().collect()}
+    n_shards = F.lit(1)
+    for s, n in n_rows.items():
+        if n > SHARD_ROWS:
+            n_shards = F.when(F.col("s") == s, -(-n // SHARD_ROWS)).otherwise(n_shards)
     draw = F.xxhash64(F.lit(seed), "k", "s")
-    counted = written(counted.select("k", "s", "tokens", draw.alias("draw"), F.pmod(F.xxhash64(draw, F.lit("shard")), F.lit(n_shards)).cast("int").alias("shard")), "tokens")
+    counted = written(counted.select("k", "s", "tokens", draw.alias("draw"), F.pmod(F.xxhash64(draw, F.lit("shard")), n_shards).cast("int").alias("shard")), "tokens")
     held = {(r[0], r[1]): r[2] for r in counted.groupBy("s", "shard").agg(F.sum("tokens")).collect()}
     size = {g[0]: sum(v for (s, _), v in held.items() if s == g[0]) for g in goal}
     present = [g for g in goal if size[g[0]]]
@@ -114,7 +118,7 @@ def mix_sources(df: DataFrame, key: str, text: str, source: str, targets: DataFr
     order = Window.partitionBy("s", "shard").orderBy("draw", "k").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
     want = F.col("blocks") * F.lit(block)
-    copies = F.floor(want / F.col("held")) + F.when(F.col("before") < want % F.col("held"), 1).otherwise(0)
+    copies = F.floor(want / F.col("held")) + F.when(F.col("before") + F.col("tokens") / 2 < want % F.col("held"), 1).otherwise(0)
     chosen = placed.join(quota, ["s", "shard"]).select(F.col("k").alias(key), F.col("s").alias(source), "tokens", copies.cast("int").alias("copies")).where(F.col("copies") > 0)
     wanted = spark.createDataFrame([(s, share, most) for s, share, most in goal], "source string, target_share double, max_repeats int")
     per = chosen.groupBy(F.col(source).alias("source")).agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("copies").alias("most_copies"))

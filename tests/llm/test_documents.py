@@ -115,3 +115,12 @@ def test_mixture(spark):
     assert sum(r["tokens"] * r["copies"] for r in chosen) == sum(r["tokens"] for r in shares.values())
     assert sorted(map(tuple, chosen)) == sorted(map(tuple, mixing.mix_sources(df, "doc_id", "text", "source", targets).selection.collect()))
     assert mixing.mix_sources(df.limit(0), "doc_id", "text", "source", targets).selection.count() == 0
+
+
+def test_mixture_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 150)
+    df = spark.createDataFrame([(i, "some words here " * (5 + i % 40), "big" if i % 4 else "small") for i in range(2400)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2)], "source string, target_share double, max_repeats int")
+    mix = mixing.mix_sources(df, "doc_id", "text", "source", targets)
+    shares = {r["source"]: r["actual_share"] for r in mix.shares.collect()}
+    assert abs(shares["big"] - 0.5) < 0.01 and mix.selection.agg({"copies": "max"}).first()[0] == 2
