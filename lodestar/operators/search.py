@@ -13,6 +13,8 @@ from lodestar.storage import written
 
 PAGE_SIZE = 20
 MIN_SCORE = 0.55
+#: Vectors in a block of rows and of queries; a pair of blocks is one task.
+BLOCK_ROWS, BLOCK_QUERIES = 50_000, 10_000
 
 
 def scored(df: DataFrame, title: Column, searchable: Column, query: str, related: list[str], vector: Column | None, query_vector: list[float] | None, min_score: float = MIN_SCORE) -> DataFrame:
@@ -109,35 +111,41 @@ def page_plan(totals: list[tuple[str, int]], page: int, size: int = PAGE_SIZE) -
     return pages, page, refs
 
 
-def blocked_similarity(queries: DataFrame, rows: DataFrame, query_key: str, row_key: str, vector: str, least: float | None = None, top: int | None = None, blocks: int = 8) -> DataFrame:
+def blocked_similarity(queries: DataFrame, rows: DataFrame, query_key: str, row_key: str, vector: str, least: float | None = None, top: int | None = None, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query key, row key, similarity) of a query set against all rows, in blocks.
 
-    Rows are spread over blocks by a hash of their key, the query set is sent to each
-    block, and a block is one matrix product. ``top`` keeps the best rows of each query a
-    block (combined afterwards), ``least`` those at or above a similarity.
+    Rows and queries are spread over blocks of bounded size by a hash of their key; each
+    pair of blocks is one matrix product in one task. ``top`` keeps the best rows of each
+    query a block (combined afterwards; the smaller key on ties), ``least`` those at or
+    above a similarity. Null vectors have no similarity, nor do vectors of differing
+    length. A row that is its own query comes out with itself.
     """
-    spread = rows.where(F.col(vector).isNotNull()).select(F.col(row_key).alias("r"), F.col(vector).alias("v"), F.pmod(F.xxhash64(row_key), F.lit(blocks)).alias("block"))
-    sent = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    n_r, n_q = max(1, -(-rows.count() // block_rows)), max(1, -(-queries.count() // block_queries))
+
+    def spread(df: DataFrame, key: str, out: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.where(F.col(vector).isNotNull()).select(F.col(key).alias(out), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
+
+    held = spread(rows, row_key, "r", "rb", n_r, "qb", n_q)
+    sent = spread(queries, query_key, "q", "qb", n_q, "rb", n_r)
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(left) and len(right):
-            width = max(map(len, right["v"]))
-            right = right[right["v"].map(len) == width]
-            left = left[left["v"].map(len) == width]
-            b = np.stack(right["v"].to_numpy()).astype(np.float64)
-            for a in range(0, len(left), 256):
-                part = left.iloc[a : a + 256]
+        lengths = set(left["v"].map(len)) & set(right["v"].map(len))
+        for width in sorted(lengths):
+            asked, rows_ = left[left["v"].map(len) == width], right[right["v"].map(len) == width]
+            b = np.stack(rows_["v"].to_numpy()).astype(np.float64)
+            for a in range(0, len(asked), 256):
+                part = asked.iloc[a : a + 256]
                 s = np.stack(part["v"].to_numpy()).astype(np.float64) @ b.T
                 keep = np.ones(s.shape, bool) if least is None else np.round(s, 6) >= least
                 if top is not None and s.shape[1] > top:
-                    kth = np.partition(s, -top, axis=1)[:, -top]
-                    keep &= s >= kth[:, None]
+                    kth = np.round(np.partition(s, -top, axis=1)[:, -top], 6)
+                    keep &= np.round(s, 6) >= kth[:, None]
                 i, j = np.nonzero(keep)
-                out.append(pd.DataFrame({"q": part["q"].to_numpy()[i], "r": right["r"].to_numpy()[j], "similarity": s[i, j]}))
+                out.append(pd.DataFrame({"q": part["q"].to_numpy()[i], "r": rows_["r"].to_numpy()[j], "similarity": s[i, j]}))
         return pd.concat(out) if out else pd.DataFrame({"q": [], "r": [], "similarity": []}).astype({"q": "int64", "r": "int64"})
 
-    found = sent.groupBy("block").cogroup(spread.groupBy("block")).applyInPandas(product, "q long, r long, similarity double")
+    found = sent.groupBy("qb", "rb").cogroup(held.groupBy("qb", "rb")).applyInPandas(product, "q long, r long, similarity double")
     if top is not None:
         w = Window.partitionBy("q").orderBy(F.round("similarity", 6).desc(), "r")
         found = found.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= top).drop("__rank")

@@ -86,7 +86,7 @@ def test_interleaving_equals_a_sort(spark):
 
 def test_blocked_similarity(spark):
     v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(9)] + [(99, None)], "id long, v array<float>")
-    got = search.blocked_similarity(v.where("id = 2"), v, "id", "id", "v", top=2, blocks=3).orderBy("r").collect()
+    got = search.blocked_similarity(v.where("id = 2"), v, "id", "id", "v", top=2, block_rows=4).orderBy("r").collect()
     assert [(r["q"], r["r"], r["similarity"]) for r in got] == [(2, 2, 5.0), (2, 5, 5.0)]
     assert search.blocked_similarity(v.where("id = 2"), v.where("id < 0"), "id", "id", "v", least=0.1).count() == 0
 
