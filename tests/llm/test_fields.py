@@ -40,6 +40,11 @@ def test_marks_that_a_template_writes_about_are_no_slots(spark):
     assert residues(spark, [("Pump", "The set [A, B, C] of moulds; p < 0.06 holds; 5 % less.")]) == set()
 
 
+def test_copies_of_one_text_are_one_alignment(spark):
+    rows = [("Pump", "The pump {org} saves water every day.")] * 6
+    assert residues(spark, rows) == {(i, "summary") for i in range(6)}
+
+
 def test_unknown_page_template_is_induced(spark):
     rows = [("Pump", "Wrong turn 12, friend.")] * 16 + [(f"Pump {i}", REAL[i % 3].format(i) + f" Extra {i}.") for i in range(60)] + [("Pump", REAL[0].format(7))] * 16
     got = residues(spark, rows)
