@@ -46,7 +46,7 @@ def test_copies_of_one_text_are_one_alignment(spark):
 
 
 def test_unknown_page_template_is_induced(spark):
-    rows = [("Pump", "Wrong turn 12, friend.")] * 16 + [(f"Pump {i}", REAL[i % 3].format(i) + f" Extra {i}.") for i in range(60)] + [("Pump", REAL[0].format(7))] * 16
+    rows = [("Pump", "Wrong turn 12, friend.")] * 16 + [(f"Pump {i}", REAL[i % 3].format(i) + f" Extra {chr(97 + i % 26)}{chr(97 + i // 26)}.") for i in range(60)] + [("Pump", REAL[0].format(7))] * 16
     got = residues(spark, rows)
     assert {(i, "summary") for i in range(16)} <= got and not any(i >= 16 and f == "summary" for i, f in got)
 
