@@ -106,6 +106,28 @@ def curate_terms(labelled: Iterable[tuple[str, list[str]]], subjects: set[str])
     return SubjectTerms(kept)
 
 
+def _whole_terms(low: str, automaton: ahocorasick.Automaton) -> list[tuple[int, str, float]]:
+    """(start, subject, weight) of the terms in a text, in order; of those that overlap, the longest.
+
+    Terms inside longer ones count where the longer one does not end with a word, so word
+    ends are looked at before lengths.
+    """
+    hits = []
+    for end, (size, subject, weight, spaceless) in automaton.iter(low):
+        start = end - size + 1
+        if spaceless or not ((start and _INNER.match(low, start - 1)) or _INNER.match(low, end + 1)):
+            hits.append((-size, start, end, subject, weight))
+    hits.sort()
+    taken = bytearray(len(low))
+    kept = []
+    for size, start, end, subject, weight in hits:
+        if not (taken[start] or taken[end]):  # what is taken is not shorter, so it would cover an end
+            taken[start : end + 1] = b"\1" * -size
+            kept.append((start, subject, weight))
+    kept.sort()
+    return kept
+
+
 def treated_subjects(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, float]]:
     """Subjects a text treats with their scores (share of the sentences that speak of a subject)."""
     low = _BLANKS.sub(" ", text.lower())
@@ -126,10 +148,7 @@ def treated_subjects(text: str, automaton: ahocorasick.Automaton) -> list[tuple[
                     best[s] = v
             scores.clear()
 
-    for end, (size, subject, weight, spaceless) in automaton.iter_long(low):
-        start = end - size + 1
-        if not spaceless and ((start and _INNER.match(low, start - 1)) or _INNER.match(low, end + 1)):
-            continue
+    for start, subject, weight in _whole_terms(low, automaton):
         while start >= ends[at]:
             close()
             at += 1

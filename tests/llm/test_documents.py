@@ -46,6 +46,14 @@ def test_term_needs_a_subject_of_its_own():
     assert kept["solar"][0] == "27" and kept["steel"][0] == "77" and "pump" not in kept
 
 
+def test_terms_inside_inflected_longer_terms_count():
+    automaton = subjects.SubjectTerms({"solar": ("27", 2.0), "panel": ("91", 2.0), "solar panel": ("27", 3.0), "energy": ("29", 1.0)}).automaton()
+    found = lambda text: subjects._whole_terms(text, automaton)
+    assert found("the solar panels here") == [(4, "27", 2.0)] and found("the solar panel here") == [(4, "27", 3.0)]
+    assert found("bioenergy, solar panelling and solar panel") == [(11, "27", 2.0), (31, "27", 3.0)]
+    assert subjects.treated_subjects("The solar panels here.", automaton) == [("27", 1.0)]
+
+
 @pytest.fixture(scope="module")
 def items():
     return [tuple(r) for r in pd.read_parquet(f"{BIG}/eval_item.parquet")[["item_id", "text"]].itertuples(index=False)]
