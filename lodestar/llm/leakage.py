@@ -15,8 +15,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Units (words; single characters where words are not spaced) in a fingerprinted window.
-WINDOW = 8
+#: Units (words; single characters where words are not spaced) in a fingerprinted window: the
+#: shortest unchanged run that the exact check builds on, so no stretch is without one.
+WINDOW = 3
 #: Fingerprints within this Hamming distance are candidates; one more block than this makes the search exact.
 RADIUS = 3
 BLOCKS = RADIUS + 1
@@ -86,13 +87,13 @@ class ItemIndex:
     order: list[np.ndarray] = field(default_factory=list)
     bounds: list[np.ndarray] = field(default_factory=list)
 
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (window, item) pairs within the radius.
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (asked print, indexed print) pairs within the radius, each at least once.
 
         Two fingerprints within ``RADIUS`` bits agree wholly on at least one of
         ``RADIUS + 1`` blocks, so looking each block up finds them all.
         """
-        at, items = [], []
+        at, others = [], []
         for b in range(BLOCKS):
             key = (prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)
             lo, hi = self.bounds[b][key.astype(np.int64)], self.bounds[b][key.astype(np.int64) + 1]
@@ -105,10 +106,42 @@ class ItemIndex:
             other = self.order[b][np.repeat(lo[hit], n[hit]) + step]
             close = np.bitwise_count(prints[rows] ^ self.prints[other]) <= RADIUS
             at.append(rows[close])
-            items.append(self.owner[other[close]])
+            others.append(other[close])
         if not at:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(at), np.concatenate(items)
+        return np.concatenate(at), np.concatenate(others)
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (window, item) pairs within the radius."""
+        at, other = self.near(prints)
+        return at, self.owner[other]
+
+    def holders(self, prints: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+        """(document, item) pairs that may share at least ``least`` of the item, given the prints of each document.
+
+        All units that ``held_share`` counts lie in unchanged runs of ``WINDOW`` units, and a
+        window covers no more units than that. So a document that holds the share matches
+        at least ``least * units / WINDOW`` windows of the item; no other pair is left out.
+        """
+        flat = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
+        if not len(flat) or not len(self.prints):
+            return []
+        asked, place = np.unique(flat, return_inverse=True)
+        at, other = self.near(asked)
+        order = np.argsort(at, kind="stable")
+        at, other = at[order], other[order]
+        lo, hi = np.searchsorted(at, np.arange(len(asked))), np.searchsorted(at, np.arange(len(asked)), side="right")
+        found = np.flatnonzero(hi[place] > lo[place])
+        of = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
+        pairs = np.unique(of[found] * len(asked) + place[found])
+        doc, place = pairs // len(asked), pairs % len(asked)
+        n = hi[place] - lo[place]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        windows = np.unique(np.repeat(doc, n) * len(self.prints) + other[np.repeat(lo[place], n) + step])
+        doc, item = windows // len(self.prints), self.owner[windows % len(self.prints)]
+        pairs, matched = np.unique(doc * len(self.units) + item, return_counts=True)
+        enough = matched * WINDOW >= least * np.array([len(u) for u in self.units])[pairs % len(self.units)] - 1e-9
+        return [(int(p // len(self.units)), int(p % len(self.units))) for p in pairs[enough]]
 
 
 def index_items(items: Iterable[tuple[int, str]]) -> ItemIndex:
@@ -145,7 +178,7 @@ def held_share(doc: list[str], item: list[str], weights: np.ndarray) -> float:
     """
     if not item:
         return 0.0
-    k = 3
+    k = WINDOW
     places: dict[tuple, list[int]] = defaultdict(list)
     for j in range(len(item) - k + 1):
         places[tuple(item[j : j + k])].append(j)
@@ -203,12 +236,7 @@ def leaked_items(df: DataFrame, key: str, text: str, index: Broadcast, least: fl
                 docs = [folded_units(t) if t else [] for t in texts[a : a + 256]]
                 if len(known) > 500_000:
                     known.clear()
-                prints = [window_fingerprints(_hashes(d, known)) for d in docs]
-                sizes = np.array([len(p) for p in prints])
-                flat = np.concatenate(prints) if sizes.sum() else np.zeros(0, np.uint64)
-                at, who = items.candidates(flat) if len(flat) else (np.zeros(0, np.int64),) * 2
-                of = np.searchsorted(np.cumsum(sizes), at, side="right")
-                for d, n in sorted({(int(x), int(y)) for x, y in zip(of, who)}):
+                for d, n in items.holders([window_fingerprints(_hashes(d, known)) for d in docs], least):
                     share = held_share(docs[d], items.units[n], items.weights[n])
                     if share >= least:
                         rows.append(a + d)

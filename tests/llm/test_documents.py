@@ -99,6 +99,21 @@ def test_planted_passages(spark, items):
     assert leakage.leaked_items(df, "k", "t", spark.sparkContext.broadcast(leakage.index_items([]))).count() == 0
 
 
+def test_search_finds_all_that_the_exact_check_accepts(spark, items):
+    rng = random.Random(5)
+    rows = []
+    for n, (_, text) in enumerate(items):
+        units = leakage.folded_units(text)
+        every = 4 + n % 5
+        mixed = [f"w{rng.randrange(9999)}" if j % every == every - 1 else u for j, u in enumerate(units)]
+        pieces = [u for j in range(0, len(units), 8) for u in [*units[j : j + 6 + n % 2], "aside", "aside"]]
+        rows += [(2 * n, " ".join(mixed[: int(len(units) * (0.6 + 0.1 * (n % 5)))])), (2 * n + 1, " ".join(pieces))]
+    index = leakage.index_items(items)
+    want = {(k, index.ids[m]) for k, t in rows for m in range(len(index.ids)) if leakage.held_share(leakage.folded_units(t), index.units[m], index.weights[m]) >= leakage.HELD}
+    got = leakage.leaked_items(spark.createDataFrame(rows, "k long, t string"), "k", "t", spark.sparkContext.broadcast(index)).collect()
+    assert {(r["k"], r["item_id"]) for r in got} == want and len(got) == len(want) > 100
+
+
 def test_apportionment_is_sainte_lague():
     assert mixing.sainte_lague([53, 24, 23], [99, 99, 99], 7) == [3, 2, 2]
     assert mixing.sainte_lague([0.5, 0.5], [1, 99], 6) == [1, 5] and mixing.sainte_lague([0, 1], [5, 5], 3) == [0, 3] and mixing.sainte_lague([], [], 3) == []
