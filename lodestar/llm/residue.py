@@ -16,6 +16,8 @@ SLOTS = [
     r"\*{3}[^*]{1,60}\*{3}", r"\b[A-Z]+_PLACEHOLDER\b", r"\bPLACEHOLDER_[A-Z]+\b", r"\[object\s+Object\]", r"#NAME\?", r"#(?:REF|VALUE|DIV/0|NULL|NUM)!", r"(?<![\w%])%[sd](?![\w%])", r"\{[A-Za-z][\w. ]{1,40}\}",
 ]
 SLOT = "(?i:" + "|".join(SLOTS) + ")"
+#: Prose about a mark, which then is text and no slot. Fixed value.
+MENTION = r"(?:such as|like|called|named|the tag|tags)\s+\{\w+\}|(?i:\b(?:marks|tags|placeholders)\s+(?:such as|like|called|named|written|spelled)(?:\s+as)?)\s+" + SLOT
 #: How any slot notation begins; a cheap guard before the slot pattern. Fixed value.
 SLOT_SIGN = r"[{}\[$#@*_]|<[A-Za-z!%<]|%[%A-Za-z{]|\((?:add|insert|enter|your|ADD|INSERT|ENTER|YOUR|Add|Insert|Enter|Your) |&lt;|&LT;|XX"
 #: How messages of a site, form prompts and filler begin, by language. Fixed values.
@@ -85,7 +87,7 @@ def is_message(value: Column) -> Column:
 
 
 def field_facts(fields: DataFrame) -> DataFrame:
-    """One compact row per field: message or not, slots with their neighbours, and 8-byte keys of the whole field and its ends.
+    """One compact row per field: message or not, numbers of slots and of those written about, and 8-byte keys of the whole field and its ends.
 
     Texts are read once; everything later works on these rows. A field longer than a
     message can be is no whole-page template, so only its opening statement is keyed.
@@ -98,15 +100,12 @@ def field_facts(fields: DataFrame) -> DataFrame:
     title = F.col("field") == "title"
     cut = F.when(latin, F.when(title, 4).otherwise(8)).otherwise(F.when(title, 2).otherwise(4))
     opening = F.regexp_extract("masked", _OPENING, 0)
-    occurrence = rf"(\S+)\s+({SLOT})(?=[\s.,;:!?]+(\S+))"
-    parts = [F.regexp_extract_all("value", F.lit(occurrence), F.lit(k)) for k in (1, 2, 3)]
     slotted = F.col("value").rlike(SLOT_SIGN) & F.col("value").rlike(SLOT)
     n_slots = F.when(slotted, F.regexp_count("value", F.lit(SLOT))).otherwise(0)
-    mentions = F.when(slotted, F.regexp_count("value", F.lit(r"(?:such as|like|called|named|the tag|tags)\s+\{\w+\}"))).otherwise(0)
-    around = F.when(slotted, F.arrays_zip(parts[0].alias("a"), parts[1].alias("s"), parts[2].alias("b")))
+    mentions = F.when(slotted, F.regexp_count("value", F.lit(MENTION))).otherwise(0)
     return staged.select(
-        "id", "source_id", "field", "short", _told(F.col("bare"), F.col("inner"), F.col("value")).alias("told"), n_slots.alias("n_slots"), mentions.alias("n_mentions"), around.alias("at"),
-        F.when(slotted, F.xxhash64("value")).alias("content"), F.xxhash64("field", "masked").alias("whole"),
+        "id", "source_id", "field", "short", _told(F.col("bare"), F.col("inner"), F.col("value")).alias("told"), n_slots.alias("n_slots"), mentions.alias("n_mentions"),
+        F.xxhash64("field", "masked").alias("whole"),
         F.xxhash64("field", F.substring("masked", F.lit(1), cut)).alias("head"), F.xxhash64("field", F.lit("~"), F.right(F.when(title, F.col("masked")).otherwise(opening), cut)).alias("tail"),
     )
 
@@ -114,21 +113,11 @@ def field_facts(fields: DataFrame) -> DataFrame:
 def unfilled_slots(facts: DataFrame) -> DataFrame:
     """(id, field) of fields that retain an unfilled slot.
 
-    Records made from one template align at the words around the slot. Where several
-    different texts of one alignment carry the very same mark, that mark is text of the template
-    (writing about such marks), not a slot; everywhere else it is a slot that was not
-    filled. Only slot-bearing fields are shuffled, in two small aggregations.
+    A mark is text only where the words before it write about marks, which each row tells
+    for itself. How many records carry the same mark in the same place says nothing: a
+    template leaves it in all of its records.
     """
-    found = facts.where(F.col("n_slots") > 0).select("id", "field", "content", "n_slots", "n_mentions", F.explode_outer("at").alias("x"))
-    context = found.select("id", "field", "content", "n_slots", "n_mentions", F.col("x.a").alias("a"), F.col("x.s").alias("s"), F.col("x.b").alias("b"))
-    constant = context.where(F.col("a").isNotNull()).groupBy("a", "b").agg(F.approx_count_distinct("content", 0.02).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).where((F.col("n") >= 3) & (F.col("lo") == F.col("hi"))).select("a", "b", F.lit(1).alias("literal"))
-    return (
-        context.join(constant, ["a", "b"], "left")
-        .groupBy("id", "field")
-        .agg(F.max("n_slots").alias("n"), F.max("n_mentions").alias("m"), F.sum(F.coalesce("literal", F.lit(0))).alias("literal"))
-        .where(F.col("n") > F.greatest("literal", "m"))
-        .select("id", "field")
-    )
+    return facts.where(F.col("n_slots") > F.col("n_mentions")).select("id", "field").distinct()
 
 
 def page_templates(facts: DataFrame) -> DataFrame:

@@ -40,6 +40,14 @@ def test_marks_that_a_template_writes_about_are_no_slots(spark):
     assert residues(spark, [("Pump", "The set [A, B, C] of moulds; p < 0.06 holds; 5 % less.")]) == set()
 
 
+def test_one_slot_left_in_many_records_of_a_template(spark):
+    rows = [("Pump", f"No {i} differs. The pump of {{org}} saves water. End {i}.") for i in range(5)]
+    rows += [("Pump", f"It fills marks written {{{{org}}}} in letters of {{{{org}}}} no {i}.") for i in range(5)]
+    assert residues(spark, rows) == {(i, "summary") for i in range(10)}
+    once = "No 9 differs. It fills marks written {name} in forms and leaves {org} here."
+    assert residues(spark, [("Pump", once)] * 2) == {(0, "summary"), (1, "summary")}
+
+
 def test_copies_of_one_text_are_one_alignment(spark):
     rows = [("Pump", "The pump {org} saves water every day.")] * 6
     assert residues(spark, rows) == {(i, "summary") for i in range(6)}
