@@ -29,9 +29,9 @@ PURITY = 0.72
 SENTENCE = 1.6
 #: A further subject needs two sentences and this share of those of the leading one ...
 SHARE = 0.3
-#: ... or, as second subject, one sentence of this score beside at most so many of the
-#: leading one (of any counted score beside at most two). Calibrated on records whose
-#: stored codes hold the leading subject: above these limits they hold the second one as
+#: ... or one sentence of this score beside at most so many of the leading one (of any
+#: counted score beside at most two), whatever its rank. Calibrated for the second subject
+#: on records whose stored codes hold the leading one: above these limits they hold it as
 #: often as where it has many sentences, below them at chance.
 SINGLE, SINGLE_BESIDE = 2.4, 5
 
@@ -140,10 +140,9 @@ def treated_subjects(text: str, automaton: ahocorasick.Automaton) -> list[tuple[
 
     def close() -> None:
         if scores:
-            top = max(scores, key=lambda s: (scores[s], s))
-            if scores[top] >= SENTENCE:
-                sentences[top] += 1
             for s, v in scores.items():
+                if v >= SENTENCE:
+                    sentences[s] += 1
                 if v > best[s]:
                     best[s] = v
             scores.clear()
@@ -157,16 +156,14 @@ def treated_subjects(text: str, automaton: ahocorasick.Automaton) -> list[tuple[
     if not best:
         return []
     if not sentences:
-        top = max(best, key=lambda s: (best[s], s))
-        return [(top, 1.0)] if best[top] >= SENTENCE / 2 else []
+        hinted = sorted(s for s in best if best[s] >= SENTENCE / 2)
+        return [(s, round(1 / len(hinted), 6)) for s in hinted]
     spoken = sum(sentences.values())
-    ranked = sorted(sentences, key=lambda s: (-sentences[s], -best[s], s))
-    lead = sentences[ranked[0]]
+    lead = max(sentences.values())
     chosen = []
-    for rank, s in enumerate(ranked):
-        n = sentences[s]
-        single = rank == 1 and n == 1 and (lead <= 2 or (lead <= SINGLE_BESIDE and best[s] >= SINGLE))
-        if rank == 0 or (n >= 2 and n >= SHARE * lead) or single:
+    for s, n in sentences.items():
+        single = n == 1 and (lead <= 2 or (lead <= SINGLE_BESIDE and best[s] >= SINGLE))
+        if n == lead or (n >= 2 and n >= SHARE * lead) or single:
             chosen.append((s, round(n / spoken, 6)))
     return sorted(chosen)
 

@@ -54,6 +54,14 @@ def test_terms_inside_inflected_longer_terms_count():
     assert subjects.treated_subjects("The solar panels here.", automaton) == [("27", 1.0)]
 
 
+def test_every_subject_over_its_threshold_is_assigned():
+    automaton = subjects.SubjectTerms({"solar": ("27", 2.0), "steel": ("77", 2.0), "yarn": ("59", 2.0), "kiln": ("81", 1.0)}).automaton()
+    found = lambda text: [s for s, _ in subjects.treated_subjects(text, automaton)]
+    assert found("A solar one. A steel one. A yarn one.") == ["27", "59", "77"]
+    assert found("A solar steel frame holds yarn.") == ["27", "59", "77"] and found("A kiln and solar.") == ["27"]
+    assert subjects.treated_subjects("Solar. Solar steel.", automaton) == [("27", 0.666667), ("77", 0.333333)]
+
+
 @pytest.fixture(scope="module")
 def items():
     return [tuple(r) for r in pd.read_parquet(f"{BIG}/eval_item.parquet")[["item_id", "text"]].itertuples(index=False)]
