@@ -72,20 +72,32 @@ def _without_residue(found: DataFrame, spark: SparkSession, d: str) -> DataFrame
     return found.join(bad, "rec_key", "left_anti")
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    """The latest original title of every snapshot id."""
+    s = table(spark, d, "snapshot_record").where(F.length(F.trim("title_original")) > 0)
+    return s.groupBy(trimmed_id(F.col("id")).alias("rec_key")).agg(F.max_by("title_original", F.struct("snapshot_no", "fetched_at", "title_original")).alias("text"))
+
+
+def _by_table(parts: list[tuple[str, DataFrame]], *columns) -> DataFrame:
+    return reduce(DataFrame.unionByName, [p.select(F.lit(t).alias("rec_table"), *columns) for t, p in parts])
+
+
+def _segments(spark: SparkSession, d: str, columns: list[str], only_cases: bool) -> DataFrame:
+    """Language segments of documents, technology summaries less residue, and snapshot titles."""
     model = language_model(spark, d)
-    docs = langid.identify(_documents(spark, d), "rec_key", "text", "lang", model, only_cases=True)
-    techs = langid.identify(_technologies(spark, d), "rec_key", "text", "lang", model, only_cases=True)
-    titles = table(spark, d, "snapshot_record").where(F.length(F.trim("title_original")) > 0).groupBy(trimmed_id(F.col("id")).alias("rec_key")).agg(F.max_by("title_original", F.struct("snapshot_no", "fetched_at", "title_original")).alias("text"))
-    named = langid.identify(titles, "rec_key", "text", None, model, whole=True)
-    parts = [("technology", _without_residue(techs.select("rec_key", "seg_no", "lang").distinct(), spark, d)), ("documents", docs), ("snapshot_record", named)]
-    return reduce(DataFrame.unionByName, [p.select(F.lit(t).alias("rec_table"), "rec_key", "seg_no", "lang") for t, p in parts])
+    docs = langid.identify(_documents(spark, d), "rec_key", "text", "lang", model, only_cases=only_cases)
+    techs = langid.identify(_technologies(spark, d), "rec_key", "text", "lang", model, only_cases=only_cases)
+    named = langid.identify(_titles(spark, d), "rec_key", "text", None, model, whole=True)
+    return _by_table([("technology", _without_residue(techs.select(*columns).distinct(), spark, d)), ("documents", docs), ("snapshot_record", named)], *columns)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d, ["rec_key", "seg_no", "lang"], True)
 
 
 def p2_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Every language segment of every document with offsets and confidence."""
-    model = language_model(spark, d)
-    return langid.identify(_documents(spark, d), "rec_key", "text", "lang", model).select("rec_key", "seg_no", "start_char", "end_char", "lang", "confidence", "mixed")
+    """Every language segment of every text with offsets and confidence."""
+    return _segments(spark, d, ["rec_key", "seg_no", "start_char", "end_char", "lang", "confidence", "mixed"], False)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -113,18 +125,21 @@ def subject_terms(spark: SparkSession, d: str) -> Broadcast:
     return spark.sparkContext.broadcast(fitted)
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    """(rec_table, rec_key, ics_code, score) of documents and of technology records less residue; repeated rows of a record count once."""
     terms = subject_terms(spark, d)
     docs = subjects.assign_subjects(_documents(spark, d), "rec_key", "text", terms)
-    techs = subjects.assign_subjects(_technologies(spark, d), "rec_key", "text", terms).select("rec_key", "subject").distinct()
-    parts = [("technology", _without_residue(techs, spark, d)), ("documents", docs)]
-    return reduce(DataFrame.unionByName, [p.select(F.lit(t).alias("rec_table"), "rec_key", F.col("subject").alias("ics_code")) for t, p in parts])
+    techs = subjects.assign_subjects(_technologies(spark, d), "rec_key", "text", terms).groupBy("rec_key", "subject").agg(F.max("score").alias("score"))
+    return _by_table([("technology", _without_residue(techs, spark, d)), ("documents", docs)], "rec_key", F.col("subject").alias("ics_code"), "score")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("rec_table", "rec_key", "ics_code")
 
 
 def p6_composition(spark: SparkSession, d: str) -> DataFrame:
-    """Make-up of the documents by subject: number of documents and their summed shares."""
-    found = subjects.assign_subjects(_documents(spark, d), "rec_key", "text", subject_terms(spark, d))
-    return found.groupBy(F.col("subject").alias("ics_code")).agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.sum("score"), 3).alias("weight"))
+    """Make-up of the catalogue by subject, for documents and technology records: their number and their summed shares."""
+    return _subjects(spark, d).groupBy("rec_table", "ics_code").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.sum("score"), 3).alias("weight"))
 
 
 def _linked(spark: SparkSession, d: str) -> DataFrame:

@@ -22,6 +22,15 @@ def test_columns_and_distinct_rows(spark, data, name):
         assert len(rows) == len(set(rows)) > 0
 
 
+@pytest.mark.parametrize("name, tables", [("p2_segments", {"documents", "technology", "snapshot_record"}), ("p6_composition", {"documents", "technology"})])
+def test_all_tables_enter(spark, data, name, tables):
+    rows = QUERIES[name](spark, data).collect()
+    assert {r["rec_table"] for r in rows} == tables
+    if name == "p6_composition":
+        found = [(r["rec_table"], r["ics_code"]) for r in QUERIES["p6_found"](spark, data).collect()]
+        assert {(r["rec_table"], r["ics_code"]): r["n_docs"] for r in rows} == {k: found.count(k) for k in found}
+
+
 @pytest.fixture(scope="module")
 def empty(tmp_path_factory, data):
     folder = tmp_path_factory.mktemp("empty")
