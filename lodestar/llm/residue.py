@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.storage import written
 
-_NAME = r"[A-Za-z][\w. ]{0,40}"
+_NAME = r"[A-Za-z][\w. ]*"
 #: Slot notations of template languages, mail merges and forms. Fixed values.
 SLOTS = [
     r"\{\{\{?[^{}]{1,80}\}?\}\}", r"\{%[^%{}]{1,60}%\}", r"[$#%]\{[^{}]{1,60}\}", r"\$![A-Za-z_.]{2,40}", r"\$[a-z]+[_.][a-z_.]+", r"<%=?[^%<>]{1,60}%>",
@@ -41,118 +48,274 @@ MESSAGES = [
     r"यह पृष्ठ", r"(?:पृष्ठ|पेज) (?:नहीं|उपलब्ध)", r"कृपया (?:जावास्क्रिप्ट|लॉग|पुनः|स्क्रिप्ट)", r"सर्वर (?:त्रुटि|में)", r"त्रुटि",
 ]
 #: Words that some systems put before a message. Fixed values.
-_LEAD = r"^(?:\W*(?:notice|attention|message|info|information|system|status|warning|alert|oops|note)\b\s*[:.!,\-–—]+\s*|[^\p{L}\p{N}\[\](){}<>#%$_*@&]+)+"
+_LEAD = r"^(?:\W*(?:notice|attention|message|info|information|system|status|warning|alert|oops|note)\b\s*[:.!,\-–—]+\s*|(?:[^\w\[\](){}<>#%$*@&])+)+"
 _BLANKISH = r"^(?:\W*\b(?:null|undefined|nan|none|n/?a|tbd|tba|todo|test|testing|asdf\w*|qwert\w*|x{3,}|foo|bar|baz|blah|dummy|title|summary|description|try again)\b\W*)+(?:(?:go|return|back|home|powered|contact|please)\b.{0,80})?$"
 # Words of common filler text. Fixed values.
 _LATIN = ("lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "elit", "tempor", "incididunt", "labore", "magna", "aliqua", "nunc", "velit", "quis", "nostrud")
-_PSEUDO_LATIN = r"\b(?:" + "|".join(_LATIN) + r")\b"
-_OPENING = r"^.*?(?:[.!?。！？।]|[ก-๛](?= [ก-๛])|$)"
-#: A message in place of content is no longer than this many characters.
-LONGEST_MESSAGE = 400
-#: Only fields up to this length may carry the name of the site beside a message.
-LONGEST_TITLE = 120
-#: A whole field repeated by at least this many records of three sources may be a page template.
-REPEATS = 12
-#: At most so many different fields may begin, or end, like a page template.
-KINDS_TITLE, KINDS = 5, 12
+_TAG = re.compile(r"</?(?:p|div|br|span|b|i|u|h\d|li|ul|ol|em|strong|a|td|tr|table|sup|sub|font|center)\b[^<>]*>", re.I)
+_REFERENCE = re.compile(r"\(ref\. \w+\)")
+_NUMBERED = re.compile(r"\s*\(\d+\)$")
+_CUE = re.compile("|".join(MESSAGES))
+_BLANK = re.compile(_BLANKISH)
+_LEADING = re.compile(_LEAD)
+_SLOTTED = re.compile(SLOT)
+_SIGNED = re.compile(SLOT_SIGN)
+_MENTIONED = re.compile(MENTION)
+_LATIN_WORD = re.compile(r"\b(?:" + "|".join(_LATIN) + r")\b")
+_WORD = re.compile(r"\w+")
+_SITE_BEFORE, _SITE_AFTER = re.compile(r"^[^|]+? - (?=\S)"), re.compile(r" \| [^|]+$")
+_BREAK = re.compile(r"[.!?।。！？|:]+(?=\s|$|[^\x00-\x7f])|\s[-–—|/>]+\s|[\r\n]+|(?<=[ก-๛])\s+(?=[ก-๛])|\([^()]*\)")
+_C = "฀-๿぀-ヿ㐀-鿿가-힣"
+_UNIT = re.compile(rf"[{_C}]|(?:[^\W\d_{_C}]|[̀-ͯऀ-ःऺ-ॏ'])+")
+_SAME = re.compile(r"[\d\s!-/:-@\[-`{-~]+")
+#: A mark of any notation: signs, a name, signs. Ordinary punctuation is none.
+_ANY_MARK = re.compile(r"(?<![\w&])([^\w\s.,;'\"“”‘’()…、。，！।-][^\w\s.,;'\"“”‘’()…、。，！।]{0,3})(?=\S|\s\w)\s?([^\W\d_][\w. ]*?)\s?([^\w\s.,;'\"“”‘’()…、。，！।]{0,3}[^\w\s.,;'\"“”‘’()…、。，！।-])(?!\w)")
+#: Marks in plain round brackets, and between low lines.
+_PLAIN_MARK = re.compile(r"(\()([^\W\d_][\w. ]*?)(\))|(?<!\w)(__)([^\W\d_][\w. ]*?)(__)(?!\w)")
+_STRONG = re.compile(r"[{}\[\]<>%$#@*~^|`§«»=:]")
+_WRITTEN_ABOUT = re.compile(r"(?:such as|like|called|named|tags?|marks?|placeholders?|written|spelled)(?:\s+as)?\s+$", re.I)
+#: A statement may be part of a template if so many records of so many sources hold it.
+REPEATS, SOURCES = 12, 3
+#: A word pair is fixed if this share of the records that hold it hold it in one and the same statement ...
+OWN = 0.5
+#: ... and a statement belongs to a template if this share of its word pairs is fixed.
+FIXED = 0.85
+#: A notation is one of slots if this share of its marks hold names of variables.
+NAMED = 0.5
+#: Bits of the filters that tell candidates apart while texts are scanned; fixed in size, and only a filter: exact joins follow.
+FILTER_BITS = 1 << 23
 
 
-def _bare(value: Column) -> Column:
-    """A field without mark-up, reference codes and end marks, in lower case."""
-    x = F.regexp_replace(value, r"(?i)</?(?:p|div|br|span|b|i|h\d|li|ul|em|strong)\b[^<>]{0,40}>", " ")
-    x = F.regexp_replace(x, r"\(ref\. \w+\)", "")
-    x = F.lower(F.regexp_replace(x, r"(?U)\s+", " "))
-    x = F.regexp_replace(F.trim(x), r"\s*\(\d+\)$", "")
-    return F.regexp_replace(x, _LEAD, "")
+def _hash(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
 
 
-def _beside_site_name(bare: Column) -> Column:
-    """A title without the name of the site that stands before or after it."""
-    return F.regexp_replace(F.regexp_replace(bare, r"^[^|]{1,40}? - (?=\S)", ""), r" \| [^|]{1,40}$", "")
+def statements(value: str) -> list[str]:
+    """The statements of a field without mark-up, digits and signs, in lower case."""
+    return [s for s in (_SAME.sub(" ", x).strip() for x in _BREAK.split(_TAG.sub(" ", value).lower())) if s]
 
 
-def _told(bare: Column, inner: Column, value: Column) -> Column:
-    """Whether a field, given without mark-up, is a message, a prompt or filler."""
-    cue, blankish = r"^(?:" + "|".join(MESSAGES) + ")", _BLANKISH
-    low = F.lower(value)
-    filler = F.when(low.contains("lorem") | low.contains("ipsum") | low.contains("amet"), (F.regexp_count(low, F.lit(_PSEUDO_LATIN)) >= 2) & (F.regexp_count(low, F.lit(_PSEUDO_LATIN)) * 8 >= F.regexp_count(low, F.lit(r"(?U)\w+")))).otherwise(False)
-    beside = (F.length(value) <= LONGEST_TITLE) & (inner.rlike(cue) | inner.rlike(blankish))
-    return (F.length(value) <= LONGEST_MESSAGE) & (bare.rlike(cue) | bare.rlike(blankish) | beside) | filler
+def fixed_grams(statement: str) -> list[int]:
+    """Keys of pairs of words, next to each other or one apart (runs of three characters where words are not spaced)."""
+    u = _UNIT.findall(statement)
+    if len(u) < 2:
+        return [_hash(statement)]
+    out = set()
+    for i in range(len(u) - 1):
+        if len(u[i]) == 1 and u[i] > "ऀ":
+            if i + 2 < len(u) or len(u) == 2:
+                out.add(_hash("\x1f".join(u[i : i + 3])))
+        else:
+            out.add(_hash(u[i] + "\x1f" + u[i + 1]))
+            if i + 2 < len(u):
+                out.add(_hash(u[i] + "\x1e" + u[i + 2]))
+    return list(out) or [_hash(statement)]
 
 
-def is_message(value: Column) -> Column:
-    """Whether a field is a message of the site, a form prompt or filler instead of content."""
-    bare = _bare(F.when(F.length(value) <= LONGEST_MESSAGE, value))
-    return F.coalesce(_told(bare, F.regexp_replace(_beside_site_name(bare), _LEAD, ""), value), F.lit(False))
+def _bare(value: str) -> str:
+    """A field without mark-up and reference codes, in lower case."""
+    x = _REFERENCE.sub("", _TAG.sub(" ", value))
+    return _NUMBERED.sub("", " ".join(x.lower().split()))
 
 
-def field_facts(fields: DataFrame) -> DataFrame:
-    """One compact row per field: message or not, numbers of slots and of those written about, and 8-byte keys of the whole field and its ends.
+def is_message(value: str | None) -> bool:
+    """Whether a field is a known message of a site, a form prompt or filler instead of content.
 
-    Texts are read once; everything later works on these rows. A field longer than a
-    message can be is no whole-page template, so only its opening statement is keyed.
+    The statement it opens with decides; of a field of many statements at least half
+    have to be known. Filler is common pseudo-Latin.
     """
-    short = F.length("value") <= LONGEST_MESSAGE
-    staged = fields.select("id", "source_id", "field", "value", short.alias("short"), _bare(F.when(short, F.col("value")).otherwise(F.regexp_extract("value", _OPENING, 0))).alias("bare"))
-    staged = staged.select("*", F.regexp_replace(_beside_site_name(F.col("bare")), _LEAD, "").alias("inner"))
-    staged = staged.select("*", F.regexp_replace("inner", r"\d+", "9").alias("masked"))
-    latin = F.col("masked").rlike(r"^[\x00-\x7f]")
-    title = F.col("field") == "title"
-    cut = F.when(latin, F.when(title, 4).otherwise(8)).otherwise(F.when(title, 2).otherwise(4))
-    opening = F.regexp_extract("masked", _OPENING, 0)
-    slotted = F.col("value").rlike(SLOT_SIGN) & F.col("value").rlike(SLOT)
-    n_slots = F.when(slotted, F.regexp_count("value", F.lit(SLOT))).otherwise(0)
-    mentions = F.when(slotted, F.regexp_count("value", F.lit(MENTION))).otherwise(0)
-    return staged.select(
-        "id", "source_id", "field", "short", _told(F.col("bare"), F.col("inner"), F.col("value")).alias("told"), n_slots.alias("n_slots"), mentions.alias("n_mentions"),
-        F.xxhash64("field", "masked").alias("whole"),
-        F.xxhash64("field", F.substring("masked", F.lit(1), cut)).alias("head"), F.xxhash64("field", F.lit("~"), F.right(F.when(title, F.col("masked")).otherwise(opening), cut)).alias("tail"),
-    )
-
-
-def unfilled_slots(facts: DataFrame) -> DataFrame:
-    """(id, field) of fields that retain an unfilled slot.
-
-    A mark is text only where the words before it write about marks, which each row tells
-    for itself. How many records carry the same mark in the same place says nothing: a
-    template leaves it in all of its records.
+    if not value or not value.strip():
+        return False
+    bare = _bare(value)
+    forms = {bare, _LEADING.sub("", bare)}
+    if " - " in bare or " | " in bare:
+        forms.add(_LEADING.sub("", _SITE_AFTER.sub("", _SITE_BEFORE.sub("", bare))))
+    for x in forms:
+        if _CUE.match(x) or _BLANK.match(x):
+            parts = [p for p in _BREAK.split(bare) if p.strip()]
+            return len(parts) <= 6 or sum(bool(_CUE.match(p.strip())) for p in parts) * 2 >= len(parts)
+    low = value.lower()
+    if "lorem" in low or "ipsum" in low or "amet" in low:
+        n = len(_LATIN_WORD.findall(low))
+        if n >= 2 and n * 8 >= len(_WORD.findall(low)):
+            return True
+    return False
+
+
+def any_marks(value: str) -> list[tuple[str, str, bool]]:
+    """(frame, name, inside) of marks in any notation; inside: text goes on after it. Marks that the words before them write about are left out."""
+    out = []
+    text = _TAG.sub(" ", value.replace("&lt;", "<").replace("&gt;", ">"))
+    for m in _ANY_MARK.finditer(text):
+        before, name, after = m.groups()
+        if (_STRONG.search(before) or _STRONG.search(after)) and not _WRITTEN_ABOUT.search(text, 0, m.start()):
+            out.append((f"{before}\x1f{after}", " ".join(name.lower().split()), bool(text[m.end() :].strip())))
+    for m in _PLAIN_MARK.finditer(text):
+        before, name, after = [g for g in m.groups() if g]
+        out.append((f"{before}\x1f{after}", " ".join(name.lower().split()), bool(text[m.end() :].strip())))
+    return out
+
+
+FACTS = "id string, source_id string, field string, told boolean, statements array<long>, marks array<struct<frame: string, name: string, inside: boolean>>"
+
+
+def field_facts(fields: DataFrame, known: bool) -> DataFrame:
+    """One compact row per field: known message or slot or not, keys of its statements, marks in any notation. Texts are read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told, keys, marks = [], [], []
+            for v in batch.column(3).to_pylist():
+                hit = False
+                if known:
+                    hit = is_message(v)
+                    if not hit and _SIGNED.search(v) and _SLOTTED.search(v):
+                        hit = sum(1 for _ in _SLOTTED.finditer(v)) > sum(1 for _ in _MENTIONED.finditer(v))
+                told.append(hit)
+                keys.append([_hash(s) for s in statements(v)])
+                marks.append([dict(zip(("frame", "name", "inside"), x)) for x in any_marks(v)] if _STRONG.search(v) or "&lt;" in v or "(" in v or "__" in v else [])
+            kind = pa.list_(pa.struct([("frame", pa.string()), ("name", pa.string()), ("inside", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(told, pa.bool_()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, kind)], ["id", "source_id", "field", "told", "statements", "marks"])
+
+    return fields.mapInArrow(run, FACTS)
+
+
+def _filter_of(keys: DataFrame, column: str) -> Broadcast:
+    """A bit set of the keys, of fixed size whatever their number."""
+    slot = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    words = keys.select(F.floor(slot / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(%s, 64) AS INT))" % column).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.toLocalIterator():  # at most FILTER_BITS / 64 rows
+        bits[r[0]] = r[1]
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def _passes(bits: np.ndarray, keys: list[int]) -> np.ndarray:
+    at = np.array(keys, np.int64) % FILTER_BITS
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def page_templates(fields: DataFrame, facts: DataFrame) -> DataFrame:
+    """(id, field) of fields that consist of statements of page templates.
+
+    Records are aligned by the statements they share. A statement that many records of
+    several sources hold is fixed text of a template, or a phrase of real content. Words of
+    real content also occur in other company: their pairs stand in many different
+    statements, because the slots around them are filled in many ways. The pairs of a page
+    template stand in that one statement only. So a statement is a template's where nearly
+    all its pairs are its own; pairs shared by several such statements (a second round)
+    count as their own. All tests are shares, so ten copies of a table give the same.
     """
-    return facts.where(F.col("n_slots") > F.col("n_mentions")).select("id", "field").distinct()
+    per = facts.select(F.explode("statements").alias("s"), "source_id").groupBy("s", "source_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = per.groupBy("s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sources")).where((F.col("n") >= REPEATS) & (F.col("sources") >= SOURCES)).select("s", "n")
+    repeated = written(repeated, "repeated")
+    seen = _filter_of(repeated, "s")
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, keys, grams = [], [], []
+            known: dict[int, list[int]] = {}
+            for i, v in enumerate(batch.column(1).to_pylist()):
+                parts = statements(v)
+                ids = [_hash(s) for s in parts]
+                if ids and _passes(seen.value, ids).all():
+                    for k, s in zip(ids, parts):
+                        if k not in known:
+                            known[k] = fixed_grams(s)
+                            rows.append(i)
+                            keys.append(k)
+                            grams.append(known[k])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["s", "grams"])
 
+    texts = fields.select("field", "value")
+    asked = written(texts.mapInArrow(candidates, "s long, grams array<long>").groupBy("s").agg(F.first("grams").alias("grams")).join(repeated, "s"), "asked")
+    pairs = asked.select("s", "n", F.explode("grams").alias("g"))
+    wanted = _filter_of(pairs.select("g"), "g")
 
-def page_templates(facts: DataFrame) -> DataFrame:
-    """(id, field) of fields that are a repeated whole-page template.
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            total: dict[int, int] = {}
+            for v in batch.column(1).to_pylist():
+                own: set[int] = set()
+                for s in statements(v):
+                    grams = known.get(s)
+                    if grams is None:
+                        grams = fixed_grams(s)
+                        grams = [g for g, ok in zip(grams, _passes(wanted.value, grams)) if ok]
+                        if len(known) > 200_000:
+                            known.clear()
+                        known[s] = grams
+                    own.update(grams)
+                for g in own:
+                    total[g] = total.get(g, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["g", "all"])
 
-    A whole field (digits masked) that many records of at least three sources share is a
-    page template unless its first or last characters also begin or end many different
-    fields, as those of real statements and titles do. Aggregations of 8-byte keys; texts
-    are not shuffled.
+    held = texts.mapInArrow(counted, "g long, all long").groupBy("g").agg(F.sum("all").alias("all"))
+    pairs = written(pairs.join(held, "g").select("s", "n", "g", "all"), "pairs")
+    own = F.col("n") >= OWN * F.col("all")
+    first = pairs.groupBy("s", "n").agg(F.avg(own.cast("double")).alias("share")).where(F.col("share") >= FIXED).select("s")
+    inside = pairs.join(first, "s", "left_semi").groupBy("g").agg(F.sum("n").alias("inside"))
+    shared = F.coalesce(F.col("inside"), F.lit(0)) >= OWN * F.col("all")
+    fixed = pairs.join(inside, "g", "left").groupBy("s").agg(F.avg((own | shared).cast("double")).alias("share")).where(F.col("share") >= FIXED).select("s")
+    each = facts.where(F.size("statements") > 0).select("id", "field", F.xxhash64("statements").alias("whole"), "statements")
+    wholes = each.groupBy("whole").agg(F.first("statements").alias("statements"), F.count(F.lit(1)).alias("records")).select("whole", "records", F.size("statements").alias("most"), F.explode("statements").alias("s"))
+    parts = wholes.join(fixed, "s", "left_semi")
+    parts = parts.join(parts.groupBy("whole", "most").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == F.col("most")).select("whole"), "whole", "left_semi")
+    parts = written(parts, "parts")
+    alone = parts.groupBy("s").agg(F.sum("records").alias("alone")).join(repeated, "s").where(F.col("alone") >= OWN * F.col("n")).select("s", F.lit(1).alias("page"))
+    stamped = parts.join(alone, "s", "left").groupBy("whole", "most").agg(F.sum(F.coalesce("page", F.lit(0))).alias("k")).where(F.col("k") * 2 >= F.col("most")).select("whole")
+    return each.join(stamped, "whole", "left_semi").select("id", "field")
+
+
+def unfilled_slots(facts: DataFrame, columns: list[str]) -> DataFrame:
+    """(id, field) of fields with a mark in a notation induced from the marks of all records.
+
+    The marks are aligned by their signs (the notation) and by what stands in them. A name
+    of a variable is a field name of the table, has the shape of one (a dot or a low line
+    inside), stands in several notations, or fills a good part of a notation's marks in
+    many records with text after it. A notation of slots holds mostly such names; real
+    brackets hold ever different words. In plain brackets only such a name, or fixed
+    words around it (``insert _ here``, whose place varies), make a slot.
     """
-    whole = (
-        facts.where("short")
-        .groupBy("whole", "head", "tail", "field")
-        .agg(F.approx_count_distinct("id", 0.02).alias("n"), F.approx_count_distinct("source_id", 0.05).alias("sources"))
-        .where((F.col("n") >= REPEATS) & (F.col("sources") >= 3))
-    )
-    ends = facts.select(F.explode(F.array("head", "tail")).alias("end"), "whole").groupBy("end").agg(F.approx_count_distinct("whole", 0.02).alias("kinds"))
-    stamped = (
-        whole.select("whole", "field", F.explode(F.array("head", "tail")).alias("end"))
-        .join(ends, "end")
-        .groupBy("whole", "field")
-        .agg(F.max("kinds").alias("kinds"))
-        .where(F.col("kinds") <= F.when(F.col("field") == "title", KINDS_TITLE).otherwise(KINDS))
-    )
-    return facts.where("short").join(stamped.select("whole"), "whole", "left_semi").select("id", "field")
-
-
-def template_residue(df: DataFrame, id_col: str, fields: list[str], source_id: str) -> DataFrame:
+    marks = facts.where(F.size("marks") > 0).select("id", "field", "source_id", F.explode("marks").alias("m")).select("id", "field", "source_id", "m.*")
+    marks = written(marks.distinct(), "marks")
+    plain = F.col("frame").isin("[\x1f]", "(\x1f)", "<\x1f>")
+    per = marks.groupBy("frame", "name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("inside").cast("long")).alias("n_inside"), F.count_distinct("source_id").alias("sources"))
+    totals = per.groupBy("frame").agg(F.sum("n").alias("all"))
+    frames = per.groupBy("name").agg(F.count(F.lit(1)).alias("frames"))
+    ident = F.col("name").rlike(r"^[^\W\d_]+(?:[._][^\W_]+)+$") | F.col("name").isin(*[c.lower() for c in columns])
+    often = (F.col("n_inside") >= REPEATS) & (F.col("sources") >= SOURCES) & (F.col("n") * 10 >= F.col("all")) & ~plain
+    judged = per.join(totals, "frame").join(frames, "name").withColumn("variable", ident | (F.col("frames") >= 2) | often)
+    single = F.when(F.col("variable"), F.col("n")).otherwise(0)
+    notations = judged.where(~plain).groupBy("frame").agg(F.sum("n").alias("n"), F.max("sources").alias("s"), F.sum(single).alias("v"), F.sum(F.when(ident, F.col("n")).otherwise(0)).alias("i"))
+    notations = notations.where((F.col("v") >= NAMED * F.col("n")) & ((F.col("n") >= REPEATS) | (F.col("i") > 0))).select("frame")
+    names = judged.where(F.col("variable") & ((F.col("frames") >= 2) | ident)).select("name").distinct()
+    bracketed = judged.where(plain).join(names, "name", "left_semi").select("frame", "name")
+    # fixed words around a name: the words of a mark with each in turn taken out
+    words = F.split("name", " ")
+    holed = judged.where(F.size(words) >= 2).select("frame", F.col("name").alias("whole"), "n", F.posexplode(words).alias("at", "word"))
+    holed = holed.select("frame", "whole", "n", F.col("word").alias("name"), F.concat_ws("\x1f", F.slice(F.split("whole", " "), F.lit(1), F.col("at")), F.array(F.lit("_")), F.slice(F.split("whole", " "), F.col("at") + 2, F.size(F.split("whole", " ")))).alias("around"))
+    around = holed.join(names.withColumn("is_name", F.lit(True)), "name", "left").groupBy("frame", "around").agg(F.sum("n").alias("n"), F.count_distinct("name").alias("fillers"), F.sum(F.when(F.col("is_name"), F.col("n")).otherwise(0)).alias("named"))
+    around = around.where((F.col("fillers") >= SOURCES) & (F.col("named") >= NAMED * F.col("n"))).select("frame", "around")
+    prompts = holed.join(around, ["frame", "around"], "left_semi").select("frame", F.col("whole").alias("name")).distinct()
+    in_notation = marks.join(notations, "frame", "left_semi").select("id", "field")
+    in_brackets = marks.join(bracketed.unionByName(prompts).distinct(), ["frame", "name"], "left_semi").select("id", "field")
+    return in_notation.unionByName(in_brackets)
+
+
+def template_residue(df: DataFrame, id_col: str, fields: list[str], source_id: str, known: bool = True) -> DataFrame:
     """One row (id, field) per field that holds template residue, filler or a message.
 
-    Empty and null fields are no cases; repeated rows of an id count once; ids that are
-    null are left out; the source may be null. Everything is native expressions.
+    Page templates and slot notations are induced from the records (``page_templates``,
+    ``unfilled_slots``); ``known`` adds the notations and messages written down above, for
+    those that occur too seldom to be induced. Empty and null fields are no cases;
+    repeated rows of an id count once; ids that are null are left out; the source may be
+    null. Fields of any length are read whole.
     """
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
-    long = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(source_id).alias("source_id"), each.alias("x")).select("id", "source_id", "x.field", "x.value")
-    facts = written(field_facts(long.where(F.length(F.trim("value")) > 0)), "facts")
+    long = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(source_id), F.lit("")).alias("source_id"), each.alias("x")).select("id", "source_id", "x.field", "x.value")
+    long = long.where(F.length(F.trim("value")) > 0)
+    facts = written(field_facts(long, known), "facts")
     told = facts.where("told").select("id", "field")
-    return told.unionByName(unfilled_slots(facts)).unionByName(page_templates(facts)).distinct()
+    return told.unionByName(unfilled_slots(facts, df.columns)).unionByName(page_templates(long, facts)).distinct()

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestar.llm.residue import SLOT, SLOT_SIGN, is_message
 from lodestar.storage import written
@@ -22,13 +23,25 @@ TERMINAL = re.compile(r"[.!?。！？।｡؟‼⁈]['\"”’」』）)\]»]*\s
 _SPACELESS = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 _TOKEN = re.compile(r"[฀-๿぀-ヿ㐀-鿿]|(?:[^\W฀-๿぀-ヿ㐀-鿿]|[̀-ͯऀ-ःऺ-ॏ])+|…|\.{2,}|[.!?。！？।]+(?=\s|$|[\"”’」』）)])|(?<=[。！？।])|(?<=[ก-๛])[ \n]+(?=[ก-๛])")
 #: Tail lengths in words, and in characters where words are not spaced, longest first.
-TAILS, CHAR_TAILS = (6, 4, 3), (14, 9, 6)
+TAILS, CHAR_TAILS = (6, 4, 3), (24, 14, 8)
 #: A length is a spike if at least so many values have it, and so many times as many as lengths near it.
 SPIKE, OVER = 4, 6.0
 #: A tail ends a text if at least this share of its other uses end a statement; at a spike of lengths it takes more.
 ENDS, SURELY_ENDS = 0.5, 0.9
-#: A longest tail that ends so many texts without a stop (one in so many records, three at least) is a fixed ending, not a cut.
-USUAL_PER = 4000
+#: A longest tail that so many different texts end with, and none goes on after, is a fixed ending and no cut ...
+USUAL = 3
+#: ... if this share of the texts that hold it up to its last unit end so; a cut inside a common phrase is rare there.
+FIXED = 0.5
+#: Lengths of what stands before the last unit of a longest tail.
+_BEFORE = (TAILS[0] - 1, CHAR_TAILS[0] - 1)
+#: Longest tail, in units, of either kind.
+_REACH = max(TAILS + CHAR_TAILS)
+#: Bits of the filter that tells asked tails apart while texts are scanned; fixed in size, and only a filter: an exact join follows.
+FILTER_BITS = 1 << 23
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_AFTER_SLOT = re.compile(rf"(?:\s*(?:{SLOT}|</?(?:p|div|span)\b[^<>]*>))+\s*$")
+_SIGN = re.compile(SLOT_SIGN)
+_MAY_CLOSE = re.compile(r"[}\])>%_*@!a-zA-Z]\s*$")
 
 
 def _units(text: str) -> list[str]:
@@ -44,53 +57,122 @@ def _units(text: str) -> list[str]:
     return out
 
 
-def _tail_keys(units: list[str], end: int) -> list[int | None]:
-    """Hashes of the last units before ``end``, longest tail first; None where the text is shorter."""
-    lengths = CHAR_TAILS if _SPACELESS.match(units[end - 1]) else TAILS
-    return [xxhash.xxh3_64_intdigest("\x1f".join(units[end - n : end])) - (1 << 63) if end >= n else None for n in lengths]
-
-
-def _tail_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: how often each tail ends a statement, ends the text without a stop, and is followed by more text."""
-    for batch in batches:
-        counts: tuple[dict[int, int], ...] = ({}, {}, {})
-        for text in batch.column(0).to_pylist():
-            units = _units(text)
-            last = len(units)
-            while last and units[last - 1] == "…":
-                last -= 1
-            for i in range(1, last + 1):
-                if units[i - 1] in ".…":
-                    continue
-                into = counts[1] if i == last else counts[0] if units[i] == "." else counts[2]
-                for k in _tail_keys(units, i):
-                    if k is not None:
-                        into[k] = into.get(k, 0) + 1
-        keys = list(counts[0].keys() | counts[1].keys() | counts[2].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([c.get(k, 0) for k in keys], pa.int64()) for c in counts)], ["k", "ended", "open", "inner"])
+class _Tails:
+    """Keys of the unit runs that end at every position of many texts, as vectors."""
+
+    def __init__(self, texts: list[list[str]], known: dict[str, int]):
+        ids: list[int] = []
+        for units in texts:
+            for u in units:
+                h = known.get(u)
+                if h is None:
+                    h = known[u] = xxhash.xxh3_64_intdigest(u)
+                ids.append(h)
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+        self.start = (np.cumsum(self.sizes) - self.sizes)[self.owner]
+        self.hash = np.array(ids, np.uint64)
+        self.spaceless = np.fromiter((bool(_SPACELESS.match(u)) for units in texts for u in units), bool, len(ids))
+
+    def keys(self, rank: int) -> tuple[np.ndarray, np.ndarray]:
+        """Key of the tail of this rank (3: what stands before a longest tail's last unit) at every position, and whether the text is long enough there."""
+        words, chars = (TAILS[rank], CHAR_TAILS[rank]) if rank < 3 else _BEFORE
+        n = np.where(self.spaceless, chars, words)
+        depth = np.arange(len(self.hash)) - self.start + 1
+        key, power = n.astype(np.uint64), _STEP
+        with np.errstate(over="ignore"):
+            for k in range(_REACH):
+                here = self.hash[: len(self.hash) - k] * power
+                key[k:] += np.where(n[k:] > k, here, np.uint64(0))
+                power = power * _STEP
+            key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return key.view(np.int64), depth >= n
+
+
+def _ended(text: str) -> tuple[list[str], bool, bool, bool]:
+    """Units of a value without what a cut leaves at its end; whether a cut mark ends it, whether dots do, whether it ends a statement."""
+    dots = DOTS.search(text)
+    units = _units(text[: dots.start()] if dots else text)
+    while units and units[-1] in ".…":
+        units.pop()
+    marked = bool(CUT_MARK.search(text)) or bool(dots and dots.group().strip() == "..")
+    return units, marked, bool(dots), not dots and bool(TERMINAL.search(text))
+
+
+JUDGED = "source string, text_key long, chars int, bytes int, marked boolean, dotted boolean, whole boolean, t0 long, t1 long, t2 long, before long, message boolean"
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each value's length, whether a cut mark ends it, whether it ends a statement, and its tail keys."""
+    """Each value's lengths and key, whether a cut mark ends it, whether it ends a statement, and its tail keys."""
+    known: dict[str, int] = {}
     for batch in batches:
-        rows: dict[str, list] = {c: [] for c in ("marked", "dotted", "whole", "t0", "t1", "t2")}
+        out: dict[str, list] = {c: [] for c in ("text_key", "chars", "bytes", "marked", "dotted", "whole", "message")}
+        units = []
         for text in batch.column(2).to_pylist():
-            marked = bool(CUT_MARK.search(text))
-            dots = DOTS.search(text)
-            body = text[: dots.start()] if dots else text
-            units = [u for u in _units(body)]
-            while units and units[-1] in ".…":
-                units.pop()
-            keys = _tail_keys(units, len(units)) if units else [None] * 3
-            rows["marked"].append(marked or bool(dots and dots.group().strip() == ".."))
-            rows["dotted"].append(bool(dots))
-            rows["whole"].append(not dots and bool(TERMINAL.search(text)))
-            for c, k in zip(("t0", "t1", "t2"), keys):
-                rows[c].append(k)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *(pa.array(rows[c], pa.bool_()) for c in ("marked", "dotted", "whole")), *(pa.array(rows[c], pa.int64()) for c in ("t0", "t1", "t2")), batch.column(3), batch.column(4)],
-            ["id", "source", "marked", "dotted", "whole", "t0", "t1", "t2", "chars", "bytes"],
-        )
+            raw = text.encode()
+            # a slot ends in a bracket or sign of its notation; other values are spared the pattern
+            value = _AFTER_SLOT.sub("", text) if _MAY_CLOSE.search(text) and _SIGN.search(text) else text
+            u, marked, dotted, whole = _ended(value)
+            units.append(u)
+            for c, v in zip(out, (xxhash.xxh3_64_intdigest(raw) - (1 << 63), len(text), len(raw), marked, dotted, whole, not value.strip() or is_message(text))):
+                out[c].append(v)
+        if len(known) > 500_000:
+            known.clear()
+        tails = _Tails(units, known)
+        last = (np.cumsum(tails.sizes) - 1)[tails.sizes > 0]
+        columns = []
+        for rank in range(4):
+            key, enough = tails.keys(rank)
+            if rank == 3:  # of the unit before the last
+                key, enough = np.append(0, key[:-1]), np.append(False, enough[:-1]) & (tails.start < np.arange(len(key)))
+            column = np.full(len(units), None, object)
+            column[tails.sizes > 0] = [int(k) if ok else None for k, ok in zip(key[last], enough[last])]
+            columns.append(pa.array(column.tolist(), pa.int64()))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.bool_()] * 4]
+        a = {c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)}
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), a["text_key"], a["chars"], a["bytes"], a["marked"], a["dotted"], a["whole"], *columns, a["message"]], ["id", *[c.split()[0] for c in JUDGED.split(", ")]])
+
+
+def _counted(asked: Broadcast):
+    """How texts go on after the asked tails: one row (tail, what comes next, key of the text) a batch, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            keys = np.array([xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t in texts], np.int64)
+            units = [_units(t) for t in texts]
+            for u in units:
+                while u and u[-1] == "…":
+                    u.pop()
+            if len(known) > 500_000:
+                known.clear()
+            tails = _Tails(units, known)
+            flat = [x for u in units for x in u]
+            stop = np.fromiter((x == "." for x in flat), bool, len(flat))
+            word = ~np.fromiter((x in ".…" for x in flat), bool, len(flat))
+            last = np.zeros(len(flat), bool)
+            last[(np.cumsum(tails.sizes) - 1)[tails.sizes > 0]] = True
+            ended = np.append(stop[1:], False) & ~last
+            found = []
+            for rank in range(4):
+                key, enough = tails.keys(rank)
+                at = key & (FILTER_BITS - 1)
+                hit = np.flatnonzero(enough & word & ~last & ((asked.value[at >> 6] >> (at & 63)) & 1 == 1))
+                found.append(np.stack([key[hit], ended[hit].astype(np.int64), keys[tails.owner[hit]]]))
+            rows = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1] == 1), pa.array(rows[2])], ["k", "ended", "text_key"])
+
+    return run
+
+
+def _filter_of(keys: DataFrame) -> Broadcast:
+    """A bit set of the keys, of fixed size whatever their number."""
+    words = keys.select(F.expr(f"cast((k & {FILTER_BITS - 1}) >> 6 AS INT)").alias("w"), F.expr("shiftleft(1L, cast(k & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.toLocalIterator():  # at most FILTER_BITS / 64 rows
+        bits[r[0]] = r[1]
+    return keys.sparkSession.sparkContext.broadcast(bits)
 
 
 def length_spikes(lengths: DataFrame) -> DataFrame:
@@ -113,58 +195,57 @@ def length_spikes(lengths: DataFrame) -> DataFrame:
 def truncated(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     """One row (id, source, truncated) per record with text, telling whether it was cut.
 
-    Three signs: a mark left where a source cuts; a spike of the source's length
-    histogram (characters or bytes) in a value that ends no statement; and, for cuts at
-    any other length, a tail that elsewhere is followed by more text, or that ends no
-    statement elsewhere, in a value without terminal punctuation. How often a tail ends a
-    statement is counted over the whole corpus, combined per batch before the shuffle.
+    A spike of the source's length histogram (characters or bytes) in a value that ends no
+    statement tells a cut at a fixed length, a mark that a source leaves where it cuts
+    tells one at any. For cuts without either, in a value without terminal punctuation, a
+    tail decides that elsewhere is mostly followed by more text. Histograms and tails count
+    different texts, so copies of a text change nothing. Of the corpus only tails that are
+    asked for are counted.
 
     Null and blank texts give no rows. Unfilled template slots at the end are set aside
     first and messages of a site count as whole. Repeated rows of an id count once. A null
     source has its own histogram. Other columns are dropped.
     """
-    # a slot ends in a bracket or sign of its notation; other values are spared the pattern
-    closing = F.col(text).rlike(r"[}\])>%_*@!a-zA-Z]\s*$") & F.col(text).rlike(SLOT_SIGN)
-    value = F.when(closing, F.regexp_replace(F.col(text), rf"(?:\s*(?:{SLOT}|</?(?:p|div|span)\b[^<>]{{0,40}}>))+\s*$", "")).otherwise(F.col(text))
-    base = df.where(F.length(F.trim(F.col(text))) > 0).select(F.col(id_col).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), value.alias("value"), F.length(text).alias("chars"), F.octet_length(F.col(text)).alias("bytes"), is_message(F.col(text)).alias("message"))
-    base = written(base, "texts")
-    kind = T._parse_datatype_string(f"id {df.schema[id_col].dataType.simpleString()}, source string, marked boolean, dotted boolean, whole boolean, t0 long, t1 long, t2 long, chars int, bytes int")
-    real = base.where(~F.col("message") & (F.length("value") > 0))
-    judged = written(real.select("id", "source", "value", "chars", "bytes").mapInArrow(_judged, kind).distinct(), "judged")
-    tails = real.select("value").mapInArrow(_tail_counts, "k long, ended long, open long, inner long").groupBy("k").agg(F.sum("ended").alias("ended"), F.sum("open").alias("open"), F.sum("inner").alias("inner"))
-    spikes = length_spikes(judged.select("source", "chars", "bytes", (~F.col("whole")).cast("int").alias("open")))
+    base = df.where(F.length(F.trim(F.col(text))) > 0).select(F.col(id_col).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("value"))
+    kind = f"id {df.schema[id_col].dataType.simpleString()}, {JUDGED}"
+    every = written(base.mapInArrow(_judged, kind), "judged")
+    judged = every.where(~F.col("message"))
+    spikes = length_spikes(judged.groupBy("source", "text_key").agg(F.first("chars").alias("chars"), F.first("bytes").alias("bytes"), F.first((~F.col("whole")).cast("int")).alias("open")))
 
     open_ends = judged.where(~F.col("whole") | F.col("marked"))
-    asked = open_ends.select("id", F.posexplode(F.array("t0", "t1", "t2")).alias("rank", "k")).where(F.col("k").isNotNull())
+    asked = open_ends.where(~F.col("marked")).select("text_key", F.posexplode(F.array("t0", "t1", "t2")).alias("rank", "k")).where(F.col("k").isNotNull()).distinct()
+    befores = open_ends.where(F.col("before").isNotNull()).select(F.col("before").alias("k"))
+    seen = _filter_of(asked.select("k").unionByName(befores).distinct())
+    tails = base.select("value").mapInArrow(_counted(seen), "k long, ended boolean, text_key long").distinct().groupBy("k").agg(F.count_if("ended").alias("ended"), F.count_if(~F.col("ended")).alias("inner"))
+    tails = written(tails, "tails")
     at_spike = (
         open_ends.where(~F.col("whole"))
-        .select("id", "source", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("chars").alias("n")), F.struct(F.lit("b").alias("unit"), F.col("bytes").alias("n")))).alias("x"))
-        .select("id", "source", "x.unit", "x.n")
+        .select("id", "source", "text_key", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("chars").alias("n")), F.struct(F.lit("b").alias("unit"), F.col("bytes").alias("n")))).alias("x"))
+        .select("id", "source", "text_key", "x.unit", "x.n")
         .join(spikes, ["source", "unit", "n"], "left_semi")
-        .select("id", F.lit(True).alias("spike"))
+        .select("source", "text_key", F.lit(True).alias("spike"))
         .distinct()
     )
     # fixed endings are counted away from the spikes, where cut values pile up
-    least = max(3, -(-real.count() // USUAL_PER))
     longest = F.coalesce("t0", "t1", "t2")
-    usual = open_ends.join(at_spike, "id", "left_anti").where(longest.isNotNull()).groupBy(longest.alias("longest")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("longest", F.lit(True).alias("usual"))
-    seen = F.col("ended") + F.col("inner")
+    usual = open_ends.join(at_spike, ["source", "text_key"], "left_anti").where(longest.isNotNull()).groupBy(longest.alias("longest")).agg(F.count_distinct("text_key").alias("n"), F.first("before", ignorenulls=True).alias("before")).where(F.col("n") >= USUAL)
+    usual = usual.join(tails.select(F.col("k").alias("before"), "inner"), "before", "left").where(F.col("n") >= FIXED * F.coalesce("inner", F.col("n"))).select("longest", F.lit(True).alias("usual"))
+    uses = F.coalesce("ended", F.lit(0)) + F.coalesce("inner", F.lit(0))
     best = (
-        asked.join(tails, "k")
-        .groupBy("id")
-        .agg(F.min_by(F.col("ended") / seen, F.when(seen >= 2, F.col("rank"))).alias("ends"), F.min_by(F.struct("k", "inner"), "rank").alias("x"))
+        asked.join(tails, "k", "left")
+        .groupBy("text_key")
+        .agg(F.min_by(F.col("ended") / uses, F.when(uses >= 2, F.col("rank"))).alias("ends"), F.min_by(F.struct("k", F.coalesce("inner", F.lit(0)).alias("inner")), "rank").alias("x"))
         .join(usual, F.col("x.k") == F.col("longest"), "left")
-        .select("id", F.when(F.coalesce("usual", F.lit(False)) & (F.col("x.inner") == 0), 1.0).otherwise(F.col("ends")).alias("ends"))
+        .select("text_key", F.when(F.coalesce("usual", F.lit(False)) & (F.col("x.inner") == 0), 1.0).otherwise(F.col("ends")).alias("ends"))
     )
     cut = (
-        open_ends.join(best, "id", "left")
-        .join(at_spike, "id", "left")
+        open_ends.join(best, "text_key", "left")
+        .join(at_spike, ["source", "text_key"], "left")
         .where(F.col("marked") | (F.coalesce("spike", F.lit(False)) & (F.coalesce("ends", F.lit(0.0)) < SURELY_ENDS)) | (F.coalesce("ends", F.lit(0.0)) < ENDS))
         .select("id")
         .distinct()
     )
-    every = base.select("id", "source").distinct()
-    return every.join(cut.select("id", F.lit(True).alias("hit")), "id", "left").select("id", "source", F.coalesce("hit", F.lit(False)).alias("truncated"))
+    return every.select("id", "source").distinct().join(cut.select("id", F.lit(True).alias("hit")), "id", "left").select("id", "source", F.coalesce("hit", F.lit(False)).alias("truncated"))
 
 
 def truncation_rates(verdicts: DataFrame) -> DataFrame:

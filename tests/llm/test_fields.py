@@ -1,8 +1,11 @@
 import random
+import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.llm import residue
 from lodestar.llm.residue import is_message, template_residue
 from lodestar.llm.truncation import truncated, truncation_rates
 
@@ -14,9 +17,8 @@ REAL = ["The pump saves water in the dry season and costs about {0} percent less
     ("!! null", True), ("undefined - undefined", True), ("asdf asdf asdf", True), ("Lorem ipsum dolor amet velit nunc", True), ("ไม่พบหน้าที่ต้องการ", True), ("요청하신 페이지를 찾을 수 없습니다.", True), ("请启用脚本后刷新页面。", True), ("Harbour - Page not found", True),
     ("It checks that pages stay readable when JavaScript is disabled.", False), ("A placeholder electrode keeps the cavity open.", False), ("An error page editor is part of the bundle.", False), ("Ion exchange resin", False), ("Cookies and snack bars were chosen as test food.", False), ("Test strip for blood", False), ("", False),
 ])
-def test_messages(spark, value, told):
-    df = spark.createDataFrame([(value,)], "v string")
-    assert bool(df.select(is_message(F.col("v"))).first()[0]) is told
+def test_messages(value, told):
+    assert is_message(value) is told
 
 
 SCHEMA = "id string, title string, summary string, source_id string, source_name string"
@@ -59,6 +61,32 @@ def test_unknown_page_template_is_induced(spark):
     assert {(i, "summary") for i in range(16)} <= got and not any(i >= 16 and f == "summary" for i, f in got)
 
 
+UNSEEN_SLOTS = [":title:", "~~org_name~~", "|*FNAME*|", "^trl^", "«Title»", "<?= name ?>", "[[org]]", "{{ partner.name }}"]
+UNSEEN_PAGES = [
+    "Diese Seite wurde leider verschoben.", "Bitte melden Sie sich an, um fortzufahren.", "La page demandée n'existe plus.", "Votre session a expiré, reconnectez-vous.", "Esta oferta ya no está publicada.", "Active las secuencias de comandos del navegador.",
+    "Hold tight while we fetch your listing.", "Nothing to show under this address", "Our robots are resting right now.", "ขออภัย ระบบปิดปรับปรุงชั่วคราว", "申し訳ございません、掲載は終了しました。", "이 게시물은 삭제되었습니다.",
+]
+
+
+@pytest.fixture(scope="module")
+def real():
+    t = pd.read_parquet("/root/testdata/sf0.01/technology.parquet", columns=["title", "summary"]).dropna().drop_duplicates("summary")
+    return [(a, b) for a, b in zip(t.title, t.summary) if len(b) > 80][:600]
+
+
+@pytest.mark.parametrize("copies", [1, 10])
+def test_slots_and_pages_are_induced_without_any_list(spark, real, copies):
+    rows = [(f"r{i}", a, b, f"s{i % 7}") for i, (a, b) in enumerate(real)]
+    rows += [(f"m{k}-{i}", "Pump", f"The offer of {mark} was filed in 20{i % 30:02d} with {REAL[i % 3].format(i)}", f"s{i % 4}") for k, mark in enumerate(UNSEEN_SLOTS) for i in range(16)]
+    rows += [(f"p{k}-{i}", "Pump", page, f"s{i % 4}") for k, page in enumerate(UNSEEN_PAGES) for i in range(16)]
+    df = spark.createDataFrame([(f"{i}/{c}", t, v, s, None) for i, t, v, s in rows for c in range(copies)], SCHEMA)
+    got = {r["id"].split("/")[0] for r in template_residue(df, "id", ["summary"], "source_id", known=False).collect()}
+    planted = {i for i, *_ in rows if i[0] in "mp"}
+    assert len(got & planted) >= 0.95 * len(planted)
+    every = {f"r{i}" for i, r in enumerate(real) if residue.is_message(r[1]) or re.search(residue.SLOT, r[1])}
+    assert len({g for g in got - planted if g not in every}) <= 2
+
+
 def test_residue_on_awkward_rows(spark):
     df = spark.createDataFrame([(None, "{org}", "y", None, None), ("1", None, "", None, None), ("2", "{org}", "long " * 50000, None, None), ("2", "{org}", "long " * 50000, None, None)], SCHEMA).withColumn("field", F.lit(1)).withColumn("value", F.lit(2))
     assert [(r["id"], r["field"]) for r in template_residue(df, "id", ["title", "summary"], "source_id").collect()] == [("2", "title")]
@@ -91,3 +119,10 @@ def test_truncation_on_awkward_rows(spark):
     assert got == set() and found.count() == 2
     none = spark.createDataFrame([], "id string, summary string, source_id string")
     assert truncated(none, "id", "summary", "source_id").count() == 0
+
+
+def test_copies_of_a_table_are_judged_like_the_table(spark, real):
+    rows = [(f"w{i}", b, f"s{i % 5}") for i, (_, b) in enumerate(real)] + [(f"c{i}", b[: 40 + 3 * (i % 30)], f"s{i % 5}") for i, (_, b) in enumerate(real[:150])] + [(f"k{i}", b[:90], "spiky") for i, (_, b) in enumerate(real[150:250])]
+    once = cut_ids(spark, rows)[0]
+    often = cut_ids(spark, [(f"{i}/{n}", b, s) for i, b, s in rows for n in range(10)])[0]
+    assert {i.split("/")[0] for i in often} == once and len({i for i in once if i[0] in "ck"}) > 200
