@@ -67,6 +67,8 @@ _SITE_BEFORE, _SITE_AFTER = re.compile(r"^[^|]+? - (?=\S)"), re.compile(r" \| [^
 _BREAK = re.compile(r"[.!?।。！？|:]+(?=\s|$|[^\x00-\x7f])|\s[-–—|/>]+\s|[\r\n]+|(?<=[ก-๛])\s+(?=[ก-๛])|\([^()]*\)")
 _C = "฀-๿぀-ヿ㐀-鿿가-힣"
 _UNIT = re.compile(rf"[{_C}]|(?:[^\W\d_{_C}]|[̀-ͯऀ-ःऺ-ॏ'])+")
+_PARTED = re.compile(rf"(?:{_BREAK.pattern})|{_UNIT.pattern}")
+_UNSPACED = 1 << 63
 _SAME = re.compile(r"[\d\s!-/:-@\[-`{-~]+")
 #: A mark of any notation: signs, a name, signs. Ordinary punctuation is none.
 _ANY_MARK = re.compile(r"(?<![\w&])([^\w\s.,;'\"“”‘’()…、。，！।-][^\w\s.,;'\"“”‘’()…、。，！।]{0,3})(?=\S|\s\w)\s?([^\W\d_][\w. ]*?)\s?([^\w\s.,;'\"“”‘’()…、。，！।]{0,3}[^\w\s.,;'\"“”‘’()…、。，！।-])(?!\w)")
@@ -90,26 +92,59 @@ def _hash(x: str) -> int:
     return xxhash.xxh3_64_intdigest(x) - (1 << 63)
 
 
-def statements(value: str) -> list[str]:
+def _plain(value: str) -> str:
+    return (_TAG.sub(" ", value) if "<" in value else value).lower()
+
+
+def statements(value: str) -> Iterator[str]:
     """The statements of a field without mark-up, digits and signs, in lower case."""
-    return [s for s in (_SAME.sub(" ", x).strip() for x in _BREAK.split(_TAG.sub(" ", value).lower())) if s]
-
-
-def fixed_grams(statement: str) -> list[int]:
-    """Keys of pairs of words, next to each other or one apart (runs of three characters where words are not spaced)."""
-    u = _UNIT.findall(statement)
-    if len(u) < 2:
-        return [_hash(statement)]
-    out = set()
-    for i in range(len(u) - 1):
-        if len(u[i]) == 1 and u[i] > "ऀ":
-            if i + 2 < len(u) or len(u) == 2:
-                out.add(_hash("\x1f".join(u[i : i + 3])))
-        else:
-            out.add(_hash(u[i] + "\x1f" + u[i + 1]))
-            if i + 2 < len(u):
-                out.add(_hash(u[i] + "\x1e" + u[i + 2]))
-    return list(out) or [_hash(statement)]
+    low, at = _plain(value), 0
+    for m in _BREAK.finditer(low):
+        s = _SAME.sub(" ", low[at : m.start()]).strip()
+        if s:
+            yield s
+        at = m.end()
+    s = _SAME.sub(" ", low[at:]).strip()
+    if s:
+        yield s
+
+
+class _Words(dict):
+    """Ids of units: 0 for what parts statements, else a hash whose sign bit tells unspaced script."""
+
+    def __missing__(self, u: str) -> int:
+        i = 0 if not _UNIT.fullmatch(u) else xxhash.xxh3_64_intdigest(u) & ~_UNSPACED | 1 | (_UNSPACED if len(u) == 1 and u > "ऀ" else 0)
+        if len(self) > 500_000:
+            self.clear()
+        self[u] = i
+        return i
+
+
+def fixed_grams(texts: list[str], words: _Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of the pairs of words of texts, next to each other or one apart (runs of three characters where words are not spaced).
+
+    Pairs do not cross the end of a statement; a statement of one word has the word for a
+    pair. Each key comes once a text.
+    """
+    ids = [[0, *(words[u] for u in _PARTED.findall(_plain(t))), 0, 0] for t in texts]
+    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, ids), np.int64, len(ids)))
+    u = np.fromiter((i for x in ids for i in x), np.uint64, len(owner))
+    if not len(u):
+        return owner, u.view(np.int64)
+    one, two, three = u[:-2], u[1:-1], u[2:]
+    close = (one >= _UNSPACED) & (two >= _UNSPACED)
+    with np.errstate(over="ignore"):
+        step = np.uint64(0x9E3779B97F4A7C15)
+        pair = (one * step ^ two) * step
+        apart = (one * step ^ np.uint64(5) ^ three * np.uint64(3)) * step
+        run = (pair ^ three) * step
+    real = (one > 0) & (two > 0)
+    before = np.append(np.uint64(0), u[:-3])
+    found = [(pair, real & ~close), (apart, real & ~close & (three > 0)), (run, real & close & ((three > 0) | (before == 0))), (two * step, (one == 0) & (two > 0) & (three == 0))]
+    at = np.concatenate([owner[:-2][ok] for _, ok in found])
+    keys = np.concatenate([k[ok] for k, ok in found])
+    keys = (keys ^ (keys >> np.uint64(31))).view(np.int64)
+    return tuple(np.unique(np.stack([at, keys]), axis=1))
 
 
 def _bare(value: str) -> str:
@@ -182,17 +217,16 @@ def field_facts(fields: DataFrame, known: bool) -> DataFrame:
 
 def _filter_of(keys: DataFrame, column: str) -> Broadcast:
     """A bit set of the keys, of fixed size whatever their number."""
-    slot = F.pmod(F.col(column), F.lit(FILTER_BITS))
-    words = keys.select(F.floor(slot / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(%s, 64) AS INT))" % column).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    words = keys.select(F.expr(f"cast(({column} & {FILTER_BITS - 1}) >> 6 AS INT)").alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words.toLocalIterator():  # at most FILTER_BITS / 64 rows
         bits[r[0]] = r[1]
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
-def _passes(bits: np.ndarray, keys: list[int]) -> np.ndarray:
-    at = np.array(keys, np.int64) % FILTER_BITS
-    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+def _passes(bits: np.ndarray, key: int) -> bool:
+    at = key & (FILTER_BITS - 1)
+    return bool(int(bits[at >> 6]) >> (at & 63) & 1)
 
 
 def page_templates(fields: DataFrame, facts: DataFrame) -> DataFrame:
@@ -212,44 +246,32 @@ def page_templates(fields: DataFrame, facts: DataFrame) -> DataFrame:
     seen = _filter_of(repeated, "s")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
         for batch in batches:
-            rows, keys, grams = [], [], []
-            known: dict[int, list[int]] = {}
-            for i, v in enumerate(batch.column(1).to_pylist()):
-                parts = statements(v)
-                ids = [_hash(s) for s in parts]
-                if ids and _passes(seen.value, ids).all():
-                    for k, s in zip(ids, parts):
-                        if k not in known:
-                            known[k] = fixed_grams(s)
-                            rows.append(i)
-                            keys.append(k)
-                            grams.append(known[k])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["s", "grams"])
+            met: dict[int, str] = {}
+            for v in batch.column(1).to_pylist():
+                parts: dict[int, str] = {}
+                for s in statements(v):
+                    k = _hash(s)
+                    if not _passes(seen.value, k):
+                        break
+                    parts[k] = s
+                else:
+                    met |= parts
+            at, grams = fixed_grams(list(met.values()), words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(met), np.int64)[at]), pa.array(grams)], ["s", "g"])
 
     texts = fields.select("field", "value")
-    asked = written(texts.mapInArrow(candidates, "s long, grams array<long>").groupBy("s").agg(F.first("grams").alias("grams")).join(repeated, "s"), "asked")
-    pairs = asked.select("s", "n", F.explode("grams").alias("g"))
+    pairs = written(texts.mapInArrow(candidates, "s long, g long").distinct().join(repeated, "s"), "asked")
     wanted = _filter_of(pairs.select("g"), "g")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        words = _Words()
         for batch in batches:
-            total: dict[int, int] = {}
-            for v in batch.column(1).to_pylist():
-                own: set[int] = set()
-                for s in statements(v):
-                    grams = known.get(s)
-                    if grams is None:
-                        grams = fixed_grams(s)
-                        grams = [g for g, ok in zip(grams, _passes(wanted.value, grams)) if ok]
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[s] = grams
-                    own.update(grams)
-                for g in own:
-                    total[g] = total.get(g, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["g", "all"])
+            _, grams = fixed_grams(batch.column(1).to_pylist(), words)
+            at = grams & (FILTER_BITS - 1)
+            keys, n = np.unique(grams[(wanted.value[at >> 6] >> (at & 63)) & 1 == 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["g", "all"])
 
     held = texts.mapInArrow(counted, "g long, all long").groupBy("g").agg(F.sum("all").alias("all"))
     pairs = written(pairs.join(held, "g").select("s", "n", "g", "all"), "pairs")

@@ -39,64 +39,92 @@ _REACH = max(TAILS + CHAR_TAILS)
 #: Bits of the filter that tells asked tails apart while texts are scanned; fixed in size, and only a filter: an exact join follows.
 FILTER_BITS = 1 << 23
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _AFTER_SLOT = re.compile(rf"(?:\s*(?:{SLOT}|</?(?:p|div|span)\b[^<>]*>))+\s*$")
 _SIGN = re.compile(SLOT_SIGN)
 _MAY_CLOSE = re.compile(r"[}\])>%_*@!a-zA-Z]\s*$")
 
 
-def _units(text: str) -> list[str]:
-    """Lower-case words (single characters where words are not spaced), "." where a statement ends, "…" for an ellipsis; numbers are masked."""
-    out = []
-    for u in _TOKEN.findall(text.lower()):
+#: Ids of the end of a statement and of an ellipsis; other units have the hash of what they stand for, the sign bit telling unspaced script.
+_STOP, _DOTS = 1, 2
+_UNSPACED = 1 << 63
+
+
+class _Ids(dict):
+    """Ids of units: of a word in lower case (a character where words are not spaced), of any number, of what ends a statement."""
+
+    def __missing__(self, u: str) -> int:
         if u[:1] == "…" or u[:2] == "..":
-            out.append("…")
+            i = _DOTS
         elif not u or u[0] in ".!?。！？।" or u.isspace():
-            out.append(".")
+            i = _STOP
         else:
-            out.append("9" if u[0].isdigit() else u)
-    return out
+            i = xxhash.xxh3_64_intdigest("9" if u[0].isdigit() else u) & ~_UNSPACED | 4 | (_UNSPACED if _SPACELESS.match(u) else 0)
+        if len(self) > 500_000:
+            self.clear()
+        self[u] = i
+        return i
+
+
+def _units(text: str, ids: _Ids) -> list[int]:
+    return [ids[u] for u in _TOKEN.findall(text.lower())]
 
 
 class _Tails:
     """Keys of the unit runs that end at every position of many texts, as vectors."""
 
-    def __init__(self, texts: list[list[str]], known: dict[str, int]):
-        ids: list[int] = []
-        for units in texts:
-            for u in units:
-                h = known.get(u)
-                if h is None:
-                    h = known[u] = xxhash.xxh3_64_intdigest(u)
-                ids.append(h)
+    def __init__(self, texts: list[list[int]]):
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.owner = np.repeat(np.arange(len(texts)), self.sizes)
-        self.start = (np.cumsum(self.sizes) - self.sizes)[self.owner]
-        self.hash = np.array(ids, np.uint64)
-        self.spaceless = np.fromiter((bool(_SPACELESS.match(u)) for units in texts for u in units), bool, len(ids))
+        self.ends = np.cumsum(self.sizes)
+        self.depth = np.arange(len(self.owner)) - (self.ends - self.sizes)[self.owner] + 1
+        self.ids = np.fromiter((i for units in texts for i in units), np.uint64, len(self.owner))
+        self.spaceless = self.ids >= np.uint64(_UNSPACED)
+        with np.errstate(over="ignore"):
+            power = np.full(len(self.ids) + 1, _STEP)
+            power[0] = 1
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(self.ids * np.cumprod(power)[1:], dtype=np.uint64)])
+            power[1:] = _INVERSE
+            self.back = np.cumprod(power)[1:]
 
     def keys(self, rank: int) -> tuple[np.ndarray, np.ndarray]:
         """Key of the tail of this rank (3: what stands before a longest tail's last unit) at every position, and whether the text is long enough there."""
         words, chars = (TAILS[rank], CHAR_TAILS[rank]) if rank < 3 else _BEFORE
         n = np.where(self.spaceless, chars, words)
-        depth = np.arange(len(self.hash)) - self.start + 1
-        key, power = n.astype(np.uint64), _STEP
+        at = np.arange(len(n))
         with np.errstate(over="ignore"):
-            for k in range(_REACH):
-                here = self.hash[: len(self.hash) - k] * power
-                key[k:] += np.where(n[k:] > k, here, np.uint64(0))
-                power = power * _STEP
+            key = (self.sums[1:] - self.sums[np.maximum(at + 1 - n, 0)]) * self.back + n.astype(np.uint64)
             key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return key.view(np.int64), depth >= n
+        return key.view(np.int64), self.depth >= n
+
+
+def _last_units(text: str, ids: _Ids) -> list[int]:
+    """At least so many last units as the longest tail has, or all; reading begins between words near the end."""
+    for length in (400, len(text)):
+        start = max(0, len(text) - length)
+        while 0 < start < len(text) and not text[start - 1].isspace():
+            start += 1
+        units = _units(text[start:], ids)
+        if start == 0 or len(units) > _REACH + 2:
+            break
+    while units and units[-1] in (_STOP, _DOTS):
+        units.pop()
+    return units if start == 0 or len(units) > _REACH else _last_units_of_all(text, ids)
 
 
-def _ended(text: str) -> tuple[list[str], bool, bool, bool]:
-    """Units of a value without what a cut leaves at its end; whether a cut mark ends it, whether dots do, whether it ends a statement."""
-    dots = DOTS.search(text)
-    units = _units(text[: dots.start()] if dots else text)
-    while units and units[-1] in ".…":
+def _last_units_of_all(text: str, ids: _Ids) -> list[int]:
+    units = _units(text, ids)
+    while units and units[-1] in (_STOP, _DOTS):
         units.pop()
-    marked = bool(CUT_MARK.search(text)) or bool(dots and dots.group().strip() == "..")
-    return units, marked, bool(dots), not dots and bool(TERMINAL.search(text))
+    return units
+
+
+def _ended(text: str, ids: _Ids) -> tuple[list[int], bool, bool, bool]:
+    """Last units of a value without what a cut leaves at its end; whether a cut mark ends it, whether dots do, whether it ends a statement."""
+    near = max(0, len(text.rstrip()) - 200)
+    dots = DOTS.search(text, near)
+    marked = bool(CUT_MARK.search(text, near)) or bool(dots and dots.group().strip() == "..")
+    return _last_units(text[: dots.start()] if dots else text, ids), marked, bool(dots), not dots and bool(TERMINAL.search(text, near))
 
 
 JUDGED = "source string, text_key long, chars int, bytes int, marked boolean, dotted boolean, whole boolean, t0 long, t1 long, t2 long, before long, message boolean"
@@ -104,7 +132,7 @@ JUDGED = "source string, text_key long, chars int, bytes int, marked boolean, do
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each value's lengths and key, whether a cut mark ends it, whether it ends a statement, and its tail keys."""
-    known: dict[str, int] = {}
+    ids = _Ids()
     for batch in batches:
         out: dict[str, list] = {c: [] for c in ("text_key", "chars", "bytes", "marked", "dotted", "whole", "message")}
         units = []
@@ -112,56 +140,58 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = text.encode()
             # a slot ends in a bracket or sign of its notation; other values are spared the pattern
             value = _AFTER_SLOT.sub("", text) if _MAY_CLOSE.search(text) and _SIGN.search(text) else text
-            u, marked, dotted, whole = _ended(value)
+            u, marked, dotted, whole = _ended(value, ids)
             units.append(u)
-            for c, v in zip(out, (xxhash.xxh3_64_intdigest(raw) - (1 << 63), len(text), len(raw), marked, dotted, whole, not value.strip() or is_message(text))):
+            message = not value.strip() or ((marked or not whole) and is_message(text))  # whole values are no cuts anyway
+            for c, v in zip(out, (xxhash.xxh3_64_intdigest(raw) - (1 << 63), len(text), len(raw), marked, dotted, whole, message)):
                 out[c].append(v)
-        if len(known) > 500_000:
-            known.clear()
-        tails = _Tails(units, known)
-        last = (np.cumsum(tails.sizes) - 1)[tails.sizes > 0]
+        tails = _Tails(units)
+        some = tails.sizes > 0
+        last = (tails.ends - 1)[some]
         columns = []
         for rank in range(4):
             key, enough = tails.keys(rank)
             if rank == 3:  # of the unit before the last
-                key, enough = np.append(0, key[:-1]), np.append(False, enough[:-1]) & (tails.start < np.arange(len(key)))
+                key, enough = np.append(0, key[:-1]), np.append(False, enough[:-1]) & (tails.depth > 1)
             column = np.full(len(units), None, object)
-            column[tails.sizes > 0] = [int(k) if ok else None for k, ok in zip(key[last], enough[last])]
+            column[some] = [int(k) if ok else None for k, ok in zip(key[last], enough[last])]
             columns.append(pa.array(column.tolist(), pa.int64()))
         kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.bool_()] * 4]
         a = {c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)}
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), a["text_key"], a["chars"], a["bytes"], a["marked"], a["dotted"], a["whole"], *columns, a["message"]], ["id", *[c.split()[0] for c in JUDGED.split(", ")]])
 
 
+COUNTED = "k long, ended long, inner long, low long, high long"
+
+
 def _counted(asked: Broadcast):
-    """How texts go on after the asked tails: one row (tail, what comes next, key of the text) a batch, each once."""
+    """How texts go on after the asked tails: a row per tail and batch with the number of texts that end a statement there, that go on, and their least and greatest keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        ids = _Ids()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             keys = np.array([xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t in texts], np.int64)
-            units = [_units(t) for t in texts]
+            units = [_units(t, ids) for t in texts]
             for u in units:
-                while u and u[-1] == "…":
+                while u and u[-1] == _DOTS:
                     u.pop()
-            if len(known) > 500_000:
-                known.clear()
-            tails = _Tails(units, known)
-            flat = [x for u in units for x in u]
-            stop = np.fromiter((x == "." for x in flat), bool, len(flat))
-            word = ~np.fromiter((x in ".…" for x in flat), bool, len(flat))
-            last = np.zeros(len(flat), bool)
-            last[(np.cumsum(tails.sizes) - 1)[tails.sizes > 0]] = True
-            ended = np.append(stop[1:], False) & ~last
+            tails = _Tails(units)
+            last = np.zeros(len(tails.ids), bool)
+            last[(tails.ends - 1)[tails.sizes > 0]] = True
+            ended = np.append(tails.ids[1:] == _STOP, False)
+            open_word = (tails.ids > _DOTS) & ~last
             found = []
             for rank in range(4):
                 key, enough = tails.keys(rank)
                 at = key & (FILTER_BITS - 1)
-                hit = np.flatnonzero(enough & word & ~last & ((asked.value[at >> 6] >> (at & 63)) & 1 == 1))
-                found.append(np.stack([key[hit], ended[hit].astype(np.int64), keys[tails.owner[hit]]]))
-            rows = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1] == 1), pa.array(rows[2])], ["k", "ended", "text_key"])
+                hit = np.flatnonzero(enough & open_word & ((asked.value[at >> 6] >> (at & 63)) & 1 == 1))
+                found.append(np.stack([key[hit], tails.owner[hit], ended[hit].astype(np.int64)]))
+            k, owner, stop = np.unique(np.concatenate(found, axis=1), axis=1)
+            tail, first = np.unique(k, return_index=True)
+            if len(tail):
+                columns = [np.add.reduceat(stop, first), np.add.reduceat(1 - stop, first), np.minimum.reduceat(keys[owner], first), np.maximum.reduceat(keys[owner], first)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (tail, *columns)], [c.split()[0] for c in COUNTED.split(", ")])
 
     return run
 
@@ -198,8 +228,8 @@ def truncated(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     A spike of the source's length histogram (characters or bytes) in a value that ends no
     statement tells a cut at a fixed length, a mark that a source leaves where it cuts
     tells one at any. For cuts without either, in a value without terminal punctuation, a
-    tail decides that elsewhere is mostly followed by more text. Histograms and tails count
-    different texts, so copies of a text change nothing. Of the corpus only tails that are
+    tail decides that in several other texts is mostly followed by more text. Shares and
+    numbers of different texts decide, so copies of a text change nothing. Of the corpus only tails that are
     asked for are counted.
 
     Null and blank texts give no rows. Unfilled template slots at the end are set aside
@@ -216,7 +246,7 @@ def truncated(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     asked = open_ends.where(~F.col("marked")).select("text_key", F.posexplode(F.array("t0", "t1", "t2")).alias("rank", "k")).where(F.col("k").isNotNull()).distinct()
     befores = open_ends.where(F.col("before").isNotNull()).select(F.col("before").alias("k"))
     seen = _filter_of(asked.select("k").unionByName(befores).distinct())
-    tails = base.select("value").mapInArrow(_counted(seen), "k long, ended boolean, text_key long").distinct().groupBy("k").agg(F.count_if("ended").alias("ended"), F.count_if(~F.col("ended")).alias("inner"))
+    tails = base.select("value").mapInArrow(_counted(seen), COUNTED).groupBy("k").agg(F.sum("ended").alias("ended"), F.sum("inner").alias("inner"), (F.min("low") < F.max("high")).alias("several"))
     tails = written(tails, "tails")
     at_spike = (
         open_ends.where(~F.col("whole"))
@@ -228,13 +258,13 @@ def truncated(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     )
     # fixed endings are counted away from the spikes, where cut values pile up
     longest = F.coalesce("t0", "t1", "t2")
-    usual = open_ends.join(at_spike, ["source", "text_key"], "left_anti").where(longest.isNotNull()).groupBy(longest.alias("longest")).agg(F.count_distinct("text_key").alias("n"), F.first("before", ignorenulls=True).alias("before")).where(F.col("n") >= USUAL)
+    usual = open_ends.join(at_spike, ["source", "text_key"], "left_anti").where(longest.isNotNull()).groupBy(longest.alias("longest")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text_key").alias("texts"), F.first("before", ignorenulls=True).alias("before")).where(F.col("texts") >= USUAL)
     usual = usual.join(tails.select(F.col("k").alias("before"), "inner"), "before", "left").where(F.col("n") >= FIXED * F.coalesce("inner", F.col("n"))).select("longest", F.lit(True).alias("usual"))
     uses = F.coalesce("ended", F.lit(0)) + F.coalesce("inner", F.lit(0))
     best = (
         asked.join(tails, "k", "left")
         .groupBy("text_key")
-        .agg(F.min_by(F.col("ended") / uses, F.when(uses >= 2, F.col("rank"))).alias("ends"), F.min_by(F.struct("k", F.coalesce("inner", F.lit(0)).alias("inner")), "rank").alias("x"))
+        .agg(F.min_by(F.col("ended") / uses, F.when(F.col("several"), F.col("rank"))).alias("ends"), F.min_by(F.struct("k", F.coalesce("inner", F.lit(0)).alias("inner")), "rank").alias("x"))
         .join(usual, F.col("x.k") == F.col("longest"), "left")
         .select("text_key", F.when(F.coalesce("usual", F.lit(False)) & (F.col("x.inner") == 0), 1.0).otherwise(F.col("ends")).alias("ends"))
     )
