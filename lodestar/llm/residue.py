@@ -120,11 +120,11 @@ class _Words(dict):
         return i
 
 
-def fixed_grams(texts: list[str], words: _Words) -> tuple[np.ndarray, np.ndarray]:
+def fixed_grams(texts: list[str], words: _Words, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, key) of the pairs of words of texts, next to each other or one apart (runs of three characters where words are not spaced).
 
     Pairs do not cross the end of a statement; a statement of one word has the word for a
-    pair. Each key comes once a text.
+    pair. Each key comes once a text; only keys of the filter ``wanted`` come, where one is given.
     """
     ids = [[0, *(words[u] for u in _PARTED.findall(_plain(t))), 0, 0] for t in texts]
     owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, ids), np.int64, len(ids)))
@@ -144,7 +144,14 @@ def fixed_grams(texts: list[str], words: _Words) -> tuple[np.ndarray, np.ndarray
     at = np.concatenate([owner[:-2][ok] for _, ok in found])
     keys = np.concatenate([k[ok] for k, ok in found])
     keys = (keys ^ (keys >> np.uint64(31))).view(np.int64)
-    return tuple(np.unique(np.stack([at, keys]), axis=1))
+    if wanted is not None:
+        bit = keys & (FILTER_BITS - 1)
+        some = (wanted[bit >> 6] >> (bit & 63)) & 1 == 1
+        at, keys = at[some], keys[some]
+    order = np.lexsort((keys, at))
+    at, keys = at[order], keys[order]
+    fresh = np.append(True, (at[1:] != at[:-1]) | (keys[1:] != keys[:-1]))[: len(at)]
+    return at[fresh], keys[fresh]
 
 
 def _bare(value: str) -> str:
@@ -268,9 +275,7 @@ def page_templates(fields: DataFrame, facts: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            _, grams = fixed_grams(batch.column(1).to_pylist(), words)
-            at = grams & (FILTER_BITS - 1)
-            keys, n = np.unique(grams[(wanted.value[at >> 6] >> (at & 63)) & 1 == 1], return_counts=True)
+            keys, n = np.unique(fixed_grams(batch.column(1).to_pylist(), words, wanted.value)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["g", "all"])
 
     held = texts.mapInArrow(counted, "g long, all long").groupBy("g").agg(F.sum("all").alias("all"))

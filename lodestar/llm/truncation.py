@@ -187,7 +187,11 @@ def _counted(asked: Broadcast):
                 at = key & (FILTER_BITS - 1)
                 hit = np.flatnonzero(enough & open_word & ((asked.value[at >> 6] >> (at & 63)) & 1 == 1))
                 found.append(np.stack([key[hit], tails.owner[hit], ended[hit].astype(np.int64)]))
-            k, owner, stop = np.unique(np.concatenate(found, axis=1), axis=1)
+            k, owner, stop = np.concatenate(found, axis=1)
+            order = np.lexsort((stop, owner, k))
+            k, owner, stop = k[order], owner[order], stop[order]
+            fresh = np.append(True, (k[1:] != k[:-1]) | (owner[1:] != owner[:-1]) | (stop[1:] != stop[:-1]))[: len(k)]
+            k, owner, stop = k[fresh], owner[fresh], stop[fresh]
             tail, first = np.unique(k, return_index=True)
             if len(tail):
                 columns = [np.add.reduceat(stop, first), np.add.reduceat(1 - stop, first), np.minimum.reduceat(keys[owner], first), np.maximum.reduceat(keys[owner], first)]
