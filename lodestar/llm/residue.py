@@ -67,7 +67,7 @@ _SITE_BEFORE, _SITE_AFTER = re.compile(r"^[^|]+? - (?=\S)"), re.compile(r" \| [^
 _BREAK = re.compile(r"[.!?।。！？|:]+(?=\s|$|[^\x00-\x7f])|\s[-–—|/>]+\s|[\r\n]+|(?<=[ก-๛])\s+(?=[ก-๛])|\([^()]*\)")
 _C = "฀-๿぀-ヿ㐀-鿿가-힣"
 _UNIT = re.compile(rf"[{_C}]|(?:[^\W\d_{_C}]|[̀-ͯऀ-ःऺ-ॏ'])+")
-_PARTED = re.compile(rf"(?:{_BREAK.pattern})|{_UNIT.pattern}")
+_PARTED = re.compile(rf"{_UNIT.pattern}|(?:{_BREAK.pattern})")
 _UNSPACED = 1 << 63
 _SAME = re.compile(r"[\d\s!-/:-@\[-`{-~]+")
 #: A mark of any notation: signs, a name, signs. Ordinary punctuation is none.
@@ -198,7 +198,7 @@ def any_marks(value: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-FACTS = "id string, source_id string, field string, told boolean, statements array<long>, marks array<struct<frame: string, name: string, inside: boolean>>"
+FACTS = "id string, source_id string, field string, told boolean, text_key long, statements array<long>, marks array<struct<frame: string, name: string, inside: boolean>>"
 
 
 def field_facts(fields: DataFrame, known: bool) -> DataFrame:
@@ -206,7 +206,7 @@ def field_facts(fields: DataFrame, known: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told, keys, marks = [], [], []
+            told, texts, keys, marks = [], [], [], []
             for v in batch.column(3).to_pylist():
                 hit = False
                 if known:
@@ -214,10 +214,11 @@ def field_facts(fields: DataFrame, known: bool) -> DataFrame:
                     if not hit and _SIGNED.search(v) and _SLOTTED.search(v):
                         hit = sum(1 for _ in _SLOTTED.finditer(v)) > sum(1 for _ in _MENTIONED.finditer(v))
                 told.append(hit)
+                texts.append(_hash(v))
                 keys.append([_hash(s) for s in statements(v)])
                 marks.append([dict(zip(("frame", "name", "inside"), x)) for x in any_marks(v)] if _STRONG.search(v) or "&lt;" in v or "(" in v or "__" in v else [])
             kind = pa.list_(pa.struct([("frame", pa.string()), ("name", pa.string()), ("inside", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(told, pa.bool_()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, kind)], ["id", "source_id", "field", "told", "statements", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(told, pa.bool_()), pa.array(texts, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, kind)], ["id", "source_id", "field", "told", "text_key", "statements", "marks"])
 
     return fields.mapInArrow(run, FACTS)
 
@@ -252,19 +253,21 @@ def page_templates(fields: DataFrame, facts: DataFrame) -> DataFrame:
     repeated = written(repeated, "repeated")
     seen = _filter_of(repeated, "s")
 
+    def of_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            s = batch.column(1).flatten().to_numpy()
+            at = s & (FILTER_BITS - 1)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            missed = np.bincount(owner[(seen.value[at >> 6] >> (at & 63)) & 1 == 0], minlength=len(sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array((missed == 0) & (sizes > 0)))], ["k"])
+
+    asked = _filter_of(facts.select("text_key", "statements").mapInArrow(of_repeated, "k long").distinct(), "k")
+
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            met: dict[int, str] = {}
-            for v in batch.column(1).to_pylist():
-                parts: dict[int, str] = {}
-                for s in statements(v):
-                    k = _hash(s)
-                    if not _passes(seen.value, k):
-                        break
-                    parts[k] = s
-                else:
-                    met |= parts
+            met = {_hash(s): s for v in batch.column(1).to_pylist() if _passes(asked.value, _hash(v)) for s in statements(v)}
             at, grams = fixed_grams(list(met.values()), words)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(met), np.int64)[at]), pa.array(grams)], ["s", "g"])
 

@@ -18,7 +18,6 @@ _WORD = re.compile(r"[^\W\d_฀-๿぀-ヿ㐀-鿿](?:[^\W\d_฀-๿぀-ヿ㐀-
 _RUN = re.compile(r"[ก-๛]+|[぀-ヿ㐀-鿿]+")
 _CLAUSE = re.compile(r"[^\w\s'’̀-ͯऀ-ःऺ-ॏ฀-๿-]+|\d+")
 _BREAK = re.compile(r"[.!?।]+[\"”’)\]]*(?= )|[。！？]+[」』”]?|(?<=[ก-๛]) +(?=[ก-๛])")
-_BLANKS = re.compile(r"\s+")
 _INNER = re.compile(r"[^\W\d_]|[̀-ͯऀ-ःऺ-ॏ]")
 _SPACELESS = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 #: Longest term, in words, and in characters where words are not spaced.
@@ -106,6 +105,17 @@ def curate_terms(labelled: Iterable[tuple[str, list[str]]], subjects: set[str])
     return SubjectTerms(kept)
 
 
+class _Inside(dict):
+    """Whether a character goes on with a word."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = found = bool(_INNER.match(c))
+        return found
+
+
+_INSIDE = _Inside({"": False})
+
+
 def _whole_terms(low: str, automaton: ahocorasick.Automaton) -> list[tuple[int, str, float]]:
     """(start, subject, weight) of the terms in a text, in order; of those that overlap, the longest.
 
@@ -115,7 +125,7 @@ def _whole_terms(low: str, automaton: ahocorasick.Automaton) -> list[tuple[int,
     hits = []
     for end, (size, subject, weight, spaceless) in automaton.iter(low):
         start = end - size + 1
-        if spaceless or not ((start and _INNER.match(low, start - 1)) or _INNER.match(low, end + 1)):
+        if spaceless or not (_INSIDE[low[start - 1 : start]] or _INSIDE[low[end + 1 : end + 2]]):
             hits.append((-size, start, end, subject, weight))
     hits.sort()
     taken = bytearray(len(low))
@@ -130,7 +140,7 @@ def _whole_terms(low: str, automaton: ahocorasick.Automaton) -> list[tuple[int,
 
 def treated_subjects(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, float]]:
     """Subjects a text treats with their scores (share of the sentences that speak of a subject)."""
-    low = _BLANKS.sub(" ", text.lower())
+    low = " ".join(text.lower().split())
     ends = [m.end() for m in _BREAK.finditer(low)]
     ends.append(len(low))
     scores: dict[str, float] = {}
