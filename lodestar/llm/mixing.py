@@ -18,12 +18,10 @@ from lodestar.storage import written
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Pre-splitting pattern of that tokenizer family. Fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Tokens in a block, the unit of apportionment, unless the corpus is so small that a finer one is needed.
-BLOCK = 4096
-#: Blocks that the whole mixture has at least.
-LEAST_BLOCKS = 2000
-#: Documents of a source that one shard orders in memory, about.
-SHARD_ROWS = 200_000
+#: Tokens in a block, the unit of apportionment at every size; about one document.
+BLOCK = 128
+#: A source has a shard for every so many of its documents; one task orders a shard.
+SHARD_ROWS = 50_000
 SEED = 20250101
 _ENCODINGS: dict[str, object] = {}
 
@@ -53,14 +51,34 @@ def token_counts(df: DataFrame, columns: list[str], text: str, path: str = TOKEN
 
 
 def sainte_lague(weights: list[float], caps: list[int], seats: int) -> list[int]:
-    """Seats by highest quotients weight / (2 s + 1), never above a cap; ties go to the earlier party."""
-    got = [0] * len(weights)
-    heap = [(-w, i) for i, w in enumerate(weights) if w > 0 and caps[i] > 0]
+    """Seats by highest quotients weight / (2 s + 1), never above a cap; ties go to the earlier party.
+
+    All quotients above a bound are seated at once and only the last seats one by one, so
+    the work does not grow with the number of seats.
+    """
+
+    def above(bound: float) -> list[int]:
+        return [min(c, int((w / bound + 1) / 2)) if w > 0 else 0 for w, c in zip(weights, caps)]
+
+    if seats <= 0 or not any(w > 0 and c > 0 for w, c in zip(weights, caps)):
+        return [0] * len(weights)
+    low, high = 0.0, 2 * max(weights) + 1
+    for _ in range(200):
+        middle = (low + high) / 2
+        if middle > 0 and sum(above(middle)) <= seats:
+            high = middle
+        else:
+            low = middle
+    got = above(high)
+    if sum(got) > seats:  # cannot be at the first bound; kept for weights near the limits of floats
+        got = [0] * len(weights)
+    left = seats - sum(got)
+    heap = [(-w / (2 * got[i] + 1), i) for i, w in enumerate(weights) if w > 0 and got[i] < caps[i]]
     heapq.heapify(heap)
-    while seats > 0 and heap:
+    while left > 0 and heap:
         _, i = heapq.heappop(heap)
         got[i] += 1
-        seats -= 1
+        left -= 1
         if got[i] < caps[i]:
             heapq.heappush(heap, (-weights[i] / (2 * got[i] + 1), i))
     return got
@@ -105,19 +123,18 @@ def mix_sources(df: DataFrame, key: str, text: str, source: str, targets: DataFr
     present = [g for g in goal if size[g[0]]]
     whole = sum(g[1] for g in present)
     total = min((size[s] * most / (share / whole) for s, share, most in present), default=0)
-    block = max(1, min(BLOCK, int(total // LEAST_BLOCKS)))
-    quotas = sainte_lague([g[1] for g in present], [int(size[s] * most // block) for s, _, most in present], int(total // block))
+    quotas = sainte_lague([g[1] for g in present], [int(size[s] * most // BLOCK) for s, _, most in present], int(total // BLOCK))
     plan = []
     for (s, _, most), q in zip(present, quotas):
         shards = sorted((sh, v) for (x, sh), v in held.items() if x == s)
-        given = sainte_lague([float(v) for _, v in shards], [int(v * most // block) for _, v in shards], q)
+        given = sainte_lague([float(v) for _, v in shards], [int(v * most // BLOCK) for _, v in shards], q)
         plan += [(s, sh, int(g), int(v)) for (sh, v), g in zip(shards, given)]
     spark = df.sparkSession
     quota = F.broadcast(spark.createDataFrame(plan, "s string, shard int, blocks long, held long"))
 
     order = Window.partitionBy("s", "shard").orderBy("draw", "k").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    want = F.col("blocks") * F.lit(block)
+    want = F.col("blocks") * F.lit(BLOCK)
     copies = F.floor(want / F.col("held")) + F.when(F.col("before") + F.col("tokens") / 2 < want % F.col("held"), 1).otherwise(0)
     chosen = placed.join(quota, ["s", "shard"]).select(F.col("k").alias(key), F.col("s").alias(source), "tokens", copies.cast("int").alias("copies")).where(F.col("copies") > 0)
     wanted = spark.createDataFrame([(s, share, most) for s, share, most in goal], "source string, target_share double, max_repeats int")

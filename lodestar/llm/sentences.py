@@ -46,14 +46,11 @@ _ENDS = re.compile(f"[{STERM}{ATERM}…]+[{CLOSE}]*")
 _WORD_BEFORE = re.compile(r"(?:[^\W\d_][̀-ͯऀ-ःऺ-ॏัิ-๎]*\.?)+$")
 _BLANKS = re.compile(r"\s*")
 _MARK = re.compile(r"[ \t]*(?:[-*+•‣▪●·–—][ \t]+|\(?(\d{1,2})[.)][ \t]+)")
-_QUOTES = re.compile(r"“[^“”\n]{1,400}”|„[^“”\n]{1,400}[“”]|「[^「」]{1,400}」|『[^『』]{1,400}』|«[^«»\n]{1,400}»|(?:(?<=\s)|(?<=^)|(?<=[(（:：,，]))\"[^\"]{1,400}\"|（[^（）]{1,300}）|\([^()]{1,300}\)")
+_QUOTES = re.compile(r"“[^“”\n]+”|„[^“”\n]+[“”]|「[^「」]+」|『[^『』]+』|«[^«»\n]+»|(?:(?<=\s)|(?<=^)|(?<=[(（:：,，]))\"[^\"]+\"|（[^（）]+）|\([^()]+\)")
 _THAI_GAP = re.compile(r"(?<=[ก-๛])[  ]+(?=[ก-๛A-Z぀-ヿ一-鿿가-힯ऀ-ॿ])")
 _THAI_TITLE = re.compile(r"(?:ดร|ศ|รศ|ผศ|นพ|พญ)\.[  ]+\S+$|(?:นาย|นาง|นางสาว)[  ]?\S+$")
 _CAPITAL_INSIDE = re.compile(r"[a-z][A-Z]")
 _LINE = re.compile(r"[^\r\n  \x85]+")
-#: A text is taken as wrapped if its longest line is at most this long.
-WRAP_LIMIT = 120
-
 
 def _is_spaceless(c: str) -> bool:
     return "฀" <= c <= "໿" or "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿"
@@ -85,7 +82,8 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
         marks.append((int(m.group(1)) if m.group(1) else 0) if m else None)
     numbers = {n for n in marks if n}
     begin, last_mark = lines[0][0], 0
-    wide = longest <= WRAP_LIMIT and sum(len(s) >= longest - 16 for s in shown) >= max(2, len(shown) // 4)
+    # wrapped text has many lines about as long as the longest; long lines are seldom wrapped, so they need more
+    wide = sum(len(s) >= longest - 16 for s in shown) >= max(2, len(shown) // 4, longest // 60)
     in_list = marks[0] is not None
     for i in range(1, len(lines)):
         before, here = shown[i - 1], shown[i]
