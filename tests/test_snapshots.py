@@ -2,6 +2,8 @@ import random
 import unicodedata
 from datetime import datetime, timedelta
 
+import pytest
+
 from lodestar.operators.snapshots import SnapshotIndex, snapshot_changes
 
 SCHEMA = "snapshot_no int, source_id string, id string, title string, summary string, fetched_at timestamp"
@@ -67,12 +69,40 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == expected
 
 
-def test_old_values_are_fetched_for_changes_only(spark):
+def test_old_values_are_fetched_for_changes_only(spark, tmp_path):
     one = spark.createDataFrame([(1, "s", "a", "T", "x", T0), (1, "s", "b", "T", "x", T0)], SCHEMA)
     two = spark.createDataFrame([(2, "s", "a", "U", "x", T0), (2, "s", "b", "T", "x", T0)], SCHEMA)
-    index = SnapshotIndex(spark, "source_id", "id", ["title", "summary"], "fetched_at", buckets=2)
+    index = SnapshotIndex(spark, str(tmp_path / "index"), "source_id", "id", ["title", "summary"], "fetched_at", buckets=2)
     index.apply(one)
     out = index.with_values(index.apply(two), one, two).collect()
     assert [(r["k"], r["title_old"], r["title_new"]) for r in out] == [("a", "T", "U")]
     plan = index.current._jdf.queryExecution().toString()
     assert "bucket" in plan.lower()
+
+
+def test_index_is_opened_probed_and_swapped(spark, tmp_path):
+    folder, fields = str(tmp_path / "index"), ["title", "summary"]
+
+    def delivery(n, texts):
+        return spark.createDataFrame([(n, "s", k, "T", v, T0) for k, v in texts.items()], SCHEMA)
+
+    assert SnapshotIndex(spark, folder, "source_id", "id", fields, "fetched_at", buckets=2).apply(delivery(1, {"a": "x", "b": "x"})).count() == 0
+    texts, seen = [{"a": "x", "b": "y"}, {"b": "y", "c": "z"}, {"a": "x"}], []
+    for n, t in enumerate(texts):
+        opened = SnapshotIndex(spark, folder, "source_id", "id", fields, "fetched_at")
+        assert opened.generation == n + 1 and opened.buckets == 2
+        seen.append({(r["k"], r["change_kind"]) for r in opened.apply(delivery(n + 2, t)).collect()})
+    assert seen == [{("b", "changed")}, {("a", "removed"), ("c", "added")}, {("a", "added"), ("b", "removed"), ("c", "removed")}]
+    assert sorted(p.name for p in (tmp_path / "index").glob("generation-*")) == ["generation-3", "generation-4"]
+    assert {r["k"] for r in opened.current.collect()} == {"a"}
+    with pytest.raises(ValueError):
+        SnapshotIndex(spark, folder, "source_id", "id", ["title"], "fetched_at")
+
+
+def test_probe_does_not_shuffle_the_index(spark, tmp_path):
+    df = spark.createDataFrame([(n, "s", f"k{i}", "T", str(i % (n + 1)), T0) for n in (1, 2) for i in range(50)], SCHEMA)
+    index = SnapshotIndex(spark, str(tmp_path / "index"), "source_id", "id", ["title", "summary"], "fetched_at", buckets=2)
+    rows = index.bucketed(df, "snapshot_no")
+    index.apply_hashed(rows.where("snapshot_no = 1"))
+    joined = index.current.join(rows.where("snapshot_no = 2").select("g", "k", "h"), ["g", "k"], "full_outer")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
