@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,10 @@ from lodestar.storage import written
 Q = 2
 #: Rows and bands of the MinHash signature; see ``collision_curve`` for how they were tuned.
 ROWS, BANDS = 3, 40
+#: The same for single letters, which swaps leave as they are.
+LETTER_ROWS, LETTER_BANDS = 8, 8
+#: Distinctive parts of fewer letters may differ by one edit (none below ``SHORTEST``), others by two.
+LONG, SHORTEST = 11, 5
 #: Least Monge-Elkan similarity of two distinctive parts.
 SIMILAR = 0.84
 # Words of institution names with their usual short forms. Fixed values.
@@ -95,12 +101,27 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
 def collision_curve(similarity: float, rows: int = ROWS, bands: int = BANDS) -> float:
     """Chance that two sets of this Jaccard similarity share a band.
 
-    Two errors in a distinctive part of twelve letters leave a similarity of about 0.5;
-    the curve gives 0.995 there, and 0.93 at 0.4.
+    Two substitutions in eleven letters leave a similarity of 0.5 to the padded 2-grams; the
+    curve gives 0.995 there. Swaps of neighbours cost more of them (two leave 0.33, which
+    the curve gives 0.78), but leave the letters as they are, so further bands are taken
+    over single letters: with a swap and a substitution 2-grams agree by 0.41 and letters
+    by 0.83, which together gives 0.99. In five to ten letters one edit is allowed; those
+    parts also meet by ``one_less``, which misses no single edit, whatever its kind.
     """
     return 1 - (1 - similarity**rows) ** bands
 
 
+def allowed_edits(a: str, b: str) -> int:
+    least = min(len(a), len(b))
+    return 2 if least >= LONG else 1 if least >= SHORTEST else 0
+
+
+def one_less(core: str) -> list[str]:
+    """A short part and all that is left of it without one letter: parts within one edit, swaps included, have one in common."""
+    return [core, *(core[:i] + core[i + 1 :] for i in range(len(core)))] if len(core) <= LONG else []
+
+
+@lru_cache(100_000)
 def _institution_word(token: str) -> str | None:
     found = _FULL.get(token) or _FULL.get(token.replace("'", ""))
     if found:
@@ -194,18 +215,18 @@ class NameParser:
         return "person", rest or tokens or [x], first, possible, middle
 
 
+def same_core(core: list[str], core2: list[str]) -> bool:
+    """Whether two distinctive parts are alike: few edits and similar tokens, or the same letters."""
+    one, two = "".join(core), "".join(core2)
+    return one == two or (within(one, two, allowed_edits(one, two)) and monge_elkan(core, core2) >= SIMILAR)
+
+
 def same_entity(a: tuple, b: tuple) -> bool:
     """Exact check of two parsed names: equal kind, similar distinctive part, compatible given names and initials."""
     kind, core, first, given, middle = a
     kind2, core2, first2, given2, middle2 = b
-    if kind != kind2:
+    if kind != kind2 or not same_core(core, core2):
         return False
-    one, two = "".join(core), "".join(core2)
-    if one != two:
-        if not within(one, two, 2 if min(len(one), len(two)) >= 11 else 1 if min(len(one), len(two)) >= 5 else 0):
-            return False
-        if monge_elkan(core, core2) < SIMILAR:
-            return False
     if kind == "person":
         if given and given2:
             if not set(given) & set(given2):
@@ -220,17 +241,30 @@ def same_entity(a: tuple, b: tuple) -> bool:
 _SEEDS = np.random.default_rng(20250101).integers(1, 1 << 62, ROWS * BANDS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
-def band_keys(core: str, kind: str) -> list[int]:
-    """Band hashes of the padded q-grams of a distinctive part, apart for each kind."""
-    padded = "^" * (Q - 1) + core + "$" * (Q - 1)
-    grams = np.array([xxhash.xxh3_64_intdigest(padded[i : i + Q]) for i in range(len(padded) - Q + 1)], np.uint64)
+_LETTER_SEEDS = np.random.default_rng(20250102).integers(1, 1 << 62, LETTER_ROWS * LETTER_BANDS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+
+
+def _bands(grams: list[str], seeds: np.ndarray, bands: int) -> list[bytes]:
+    g = np.array([xxhash.xxh3_64_intdigest(x) for x in grams], np.uint64)
     with np.errstate(over="ignore"):
-        h = grams[:, None] * _SEEDS[None, :]
+        h = g[:, None] * seeds[None, :]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    low = h.min(axis=0).reshape(BANDS, ROWS)
-    return [xxhash.xxh3_64_intdigest(low[b].tobytes() + kind.encode(), seed=b) - (1 << 63) for b in range(BANDS)]
+    return [x.tobytes() for x in h.min(axis=0).reshape(bands, -1)]
+
+
+def band_keys(core: str) -> list[int]:
+    """Keys by which a distinctive part meets others: bands of its padded q-grams and of its letters, and what is left of a short one without a letter."""
+    padded = "^" * (Q - 1) + core + "$" * (Q - 1)
+    met: Counter = Counter()
+    letters = []
+    for c in core:
+        met[c] += 1
+        letters.append(f"{c}{met[c]}")
+    keys = _bands([padded[i : i + Q] for i in range(len(padded) - Q + 1)], _SEEDS, BANDS)
+    keys += _bands(letters or [""], _LETTER_SEEDS, LETTER_BANDS) if len(core) >= LONG else []
+    return [xxhash.xxh3_64_intdigest(k, seed=n) - (1 << 63) for n, k in enumerate(keys)] + [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in set(one_less(core))]
 
 
 NODE = "node long, kind string, core array<string>, first string, given array<string>, middle string"
@@ -253,12 +287,18 @@ def parsed_names(names: DataFrame, nicknames: list[tuple[str, str]]) -> DataFram
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        node, bands = [], []
-        for n, kind, core in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            keys = band_keys("".join(core), kind)
-            node += [n] * len(keys)
-            bands += keys
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(bands, pa.int64())], ["node", "band"])
+        cores = batch.column(0).to_pylist()
+        keys = [band_keys(c) if len(c) >= SHORTEST - 1 else [] for c in cores]
+        rows = np.repeat(np.arange(len(cores)), [len(k) for k in keys])
+        lengths = np.array([len(c) for c in cores], np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(lengths[rows]), pa.array([x for k in keys for x in k], pa.int64())], ["core", "length", "band"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        p = batch.to_pydict()
+        ok = pa.array([same_core(x, y) for x, y in zip(p["tokens"], p["tokens2"])], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).filter(ok) for c in ("core", "core2")], ["core", "core2"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,6 +310,52 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
 
+def similar_cores(nodes: DataFrame) -> DataFrame:
+    """(core, core2) of all similar distinctive parts, each with itself and both ways.
+
+    Every different part is one row, however many names hold it. Those that share a band
+    and whose lengths are at most two apart are compared exactly; the length is part of
+    the key, so what a frequent band brings together is split by it.
+    """
+    cores = written(nodes.groupBy(F.concat_ws("", "core").alias("core")).agg(F.min("core").alias("tokens")), "cores")
+    bands = cores.select("core").repartition(_tasks(nodes)).mapInArrow(_banded, "core string, length int, band long")
+    left = bands.select("band", F.explode(F.array(*[F.col("length") + d for d in range(-2, 3)])).alias("length"), "core")
+    right = bands.select("band", "length", F.col("core").alias("core2"))
+    pairs = left.join(right, ["band", "length"]).where(F.col("core") < F.col("core2")).select("core", "core2").distinct()
+    pairs = pairs.join(cores, "core").join(cores.select(F.col("core").alias("core2"), F.col("tokens").alias("tokens2")), "core2")
+    found = written(pairs.mapInArrow(_alike, "core string, core2 string"), "alike")
+    return cores.select("core", F.col("core").alias("core2")).unionByName(found).unionByName(found.select(F.col("core2").alias("core"), F.col("core").alias("core2")))
+
+
+def _tasks(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+
+
+def linked_nodes(nodes: DataFrame) -> DataFrame:
+    """(a, b) of all pairs of nodes that are the same entity.
+
+    Persons of one surname are not all compared: a node asks by its given names, one
+    without by its initials, one without either by the surname alone, and only meets nodes
+    that answer to that. Few spellings of a surname lack a given name, so the pairs grow
+    with the names that are truly alike.
+    """
+    given, first = F.col("given"), F.filter(F.split("first", ""), lambda c: c != "")
+    named = F.transform(given, lambda g: F.concat(F.lit("g"), g))
+    initials = F.transform(first, lambda c: F.concat(F.lit("i"), c))
+    one = F.array(F.lit(""))
+    person = F.col("kind") == "person"
+    asks = F.when(person & (F.size(given) > 0), named).when(person & (F.size(first) > 0), initials).otherwise(one)
+    answers = F.when(person, F.concat(named, initials, one)).otherwise(one)
+    parts = ("kind", "core", "first", "given", "middle")
+    keyed = nodes.withColumn("whole", F.concat_ws("", "core"))
+    asking = keyed.select(F.col("node").alias("a"), *parts, "whole", F.explode(F.array_distinct(asks)).alias("key"))
+    near = similar_cores(nodes).select(F.col("core").alias("whole"), F.col("core2").alias("whole2"))
+    answering = keyed.select(F.col("node").alias("b"), *[F.col(c).alias(c + "2") for c in parts], F.col("whole").alias("whole2"), F.explode(F.array_distinct(answers)).alias("key"))
+    met = asking.join(near, "whole").join(answering, ["whole2", "key"]).where((F.col("a") != F.col("b")) & (F.col("kind") == F.col("kind2")))
+    found = met.mapInArrow(_verified, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, centre): star clustering of the link graph.
 
@@ -300,20 +386,15 @@ def link_names(df: DataFrame, name: str, nicknames: list[tuple[str, str]]) -> Da
     """(name, entity): every distinct stored spelling with the class of its entity.
 
     Distinct spellings are counted first, so a name that fills a third of all rows is one
-    row from there on; spellings that parse alike become one node. MinHash bands over
-    padded q-grams of the distinctive part give candidates, parsed parts are compared
-    exactly, and star clustering forms the classes. Null and blank names are left out.
+    row from there on; spellings that parse alike become one node, and equal distinctive
+    parts one row of the search. MinHash bands over padded q-grams of these give
+    candidates, parsed parts are compared exactly, and star clustering forms the classes. Null and blank names are left out.
     """
     names = df.where(F.length(F.trim(F.col(name))) > 0).groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("weight"))
-    parsed = written(parsed_names(names, nicknames), "names")
+    parsed = written(parsed_names(names.repartition(_tasks(df), "name"), nicknames), "names")
     nodes = parsed.groupBy("node").agg(F.sum("weight").alias("weight"), *[F.min(c).alias(c) for c in ("kind", "core", "first", "given", "middle")])
     nodes = written(nodes, "nodes")
-    bands = nodes.select("node", "kind", "core").mapInArrow(_banded, "node long, band long")
-    pairs = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    parts = ("kind", "core", "first", "given", "middle")
-    left = nodes.select(F.col("node").alias("a"), *parts)
-    right = nodes.select(F.col("node").alias("b"), *[F.col(c).alias(c + "2") for c in parts])
-    edges = pairs.join(left, "a").join(right, "b").mapInArrow(_verified, "a long, b long")
+    edges = written(linked_nodes(nodes), "edges")
     stars = star_clusters(nodes, edges)
     return parsed.select("name", "node").join(stars, "node").select("name", F.col("centre").alias("entity"))
 

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pandas as pd
 import pytest
@@ -44,7 +45,7 @@ def test_recall_of_bands_follows_the_curve():
     parser = names.NameParser(NICKS)
     stored = sorted(set(pd.read_parquet("/root/testdata/sf0.1/technology.parquet", columns=["org_name"]).org_name.dropna()))[:500]
     parsed = [parser.parse(n) for n in stored if n.strip()]
-    keys = [set(names.band_keys("".join(p[1]), p[0])) for p in parsed]
+    keys = [set(names.band_keys("".join(p[1]))) for p in parsed]
     found = total = 0
     for i, j in itertools.combinations(range(len(parsed)), 2):
         if parsed[i][0] == parsed[j][0] and names.same_entity(parsed[i], parsed[j]):
@@ -71,3 +72,37 @@ def test_star_clusters_against_brute_force(spark):
 @pytest.mark.parametrize("a, b, most, ok", [("tekmen", "tkemen", 1, True), ("tekmen", "tekmn", 1, True), ("tekmen", "takmon", 1, False), ("", "a", 1, True), ("abc", "abc", 0, True), ("abcd", "wxyz", 2, False)])
 def test_edit_distance(a, b, most, ok):
     assert names.within(a, b, most) is ok
+
+
+def _edited(rng, word, kinds):
+    for kind in kinds:
+        i = rng.randrange(len(word) - 1)
+        c = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        word = {"swap": word[:i] + word[i + 1] + word[i] + word[i + 2 :], "put": word[:i] + c + word[i + 1 :], "add": word[:i] + c + word[i:], "drop": word[:i] + word[i + 1 :]}[kind]
+    return word
+
+
+@pytest.mark.parametrize("length, kinds", [(n, (k,)) for n in (6, 7, 10) for k in ("swap", "put", "add", "drop")] + [(n, k) for n in (11, 13, 16) for k in itertools.combinations_with_replacement(("swap", "put", "add", "drop"), 2) if n > 11 or "drop" not in k])
+def test_accepted_pairs_meet_in_every_class_of_edits(length, kinds):
+    rng = random.Random(f"{length}{kinds}")
+    met = total = 0
+    for _ in range(400):
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(length))
+        other = _edited(rng, word, kinds)
+        if names.same_core([word], [other]) and word != other:
+            total += 1
+            met += bool(set(names.band_keys(word)) & set(names.band_keys(other)))
+    assert total > 200 and met / total >= 0.95, (met, total)
+
+
+def test_common_surnames_are_not_compared_all_with_all(spark, monkeypatch):
+    parser = names.NameParser(NICKS)
+    rng = random.Random(2)
+    given = ["".join(rng.choice("bdfglmnrst") + rng.choice("aeiou") for _ in range(4)) for _ in range(300)]
+    stored = [f"{g} Kamgardusbak" for g in given] + [f"{g[0]}. Kamgardusbak" for g in given] + [f"{given[0]} Kamgardusbk"]
+    parsed = {n: parser.parse(n) for n in set(stored)}
+    rows = [(i, *parsed[n]) for i, n in enumerate(sorted(parsed))]
+    nodes = spark.createDataFrame([(i, 1, k, c, f, g, m) for i, k, c, f, g, m in rows], "node long, weight long, kind string, core array<string>, first string, given array<string>, middle string")
+    got = {tuple(r) for r in names.linked_nodes(nodes).collect()}
+    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if names.same_entity(a[1:], b[1:])}
+    assert got == want and len(want) > 100
