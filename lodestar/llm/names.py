@@ -21,7 +21,7 @@ Q = 2
 #: Rows and bands of the MinHash signature; see ``collision_curve`` for how they were tuned.
 ROWS, BANDS = 3, 40
 #: The same for single letters, which swaps leave as they are.
-LETTER_ROWS, LETTER_BANDS = 8, 8
+LETTER_ROWS, LETTER_BANDS = 12, 8
 #: Distinctive parts of fewer letters may differ by one edit (none below ``SHORTEST``), others by two.
 LONG, SHORTEST = 11, 5
 #: Least Monge-Elkan similarity of two distinctive parts.
@@ -105,7 +105,7 @@ def collision_curve(similarity: float, rows: int = ROWS, bands: int = BANDS) ->
     curve gives 0.995 there. Swaps of neighbours cost more of them (two leave 0.33, which
     the curve gives 0.78), but leave the letters as they are, so further bands are taken
     over single letters: with a swap and a substitution 2-grams agree by 0.41 and letters
-    by 0.83, which together gives 0.99. In five to ten letters one edit is allowed; those
+    by 0.83, which together gives 0.97. In five to ten letters one edit is allowed; those
     parts also meet by ``one_less``, which misses no single edit, whatever its kind.
     """
     return 1 - (1 - similarity**rows) ** bands
