@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import is_valid_url, normalised
+from lodestar.functions.text import is_valid_url
 from lodestar.operators.records import latest_per_key
+from lodestar.operators.search import distributed_positions
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], keep: list[str]) -> DataFrame:
@@ -62,5 +63,55 @@ def merged_terms(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max("relevance").alias("relevance"), F.count(F.lit(1)).alias("evidence_count"), F.max("seen").alias("last_seen"))
 
 
-def title_key(c: Column) -> Column:
-    return normalised(c)
+def evicted(entries: DataFrame, order: list[str], capacity: int) -> DataFrame:
+    """The entries by which a cache exceeds its capacity, first in order; a bounded top-k, so no window over all entries."""
+    return entries.orderBy(*order).limit(max(0, entries.count() - capacity))
+
+
+def cache_key(params: dict[str, Column], version: str) -> Column:
+    """Hash of named parameters as JSON with sorted names; the version keeps keys of another schema apart."""
+    named = {**params, "version": F.lit(version)}
+    return F.md5(F.to_json(F.struct(*[F.coalesce(named[k], F.lit("")).alias(k) for k in sorted(named)])))
+
+
+ANSWER = "items array<struct<id:string,sector_code:string,confidence:string,title_en:string,summary_en:string>>"
+
+
+def parsed_responses(asked: DataFrame, answers: DataFrame, batch: str, key: str, answer: str, codes: list[str]) -> DataFrame:
+    """(batch, fault, ids): a model's answers checked against what each request asked.
+
+    An answer must be JSON with items; its ids must be those asked, each once; each item
+    needs a known code, a known confidence, a title and a summary. The first fault in this
+    order is told and the batch has no ids, else they come in the order asked. Requests
+    are small by construction, so a batch is one row.
+    """
+    wanted = asked.groupBy(batch).agg(F.array_sort(F.collect_list(F.col(key))).alias("__asked"))
+    read = answers.select(batch, F.from_json(F.col(answer), ANSWER)["items"].alias("__items"))
+    rows = wanted.join(read, batch, "left")
+    ids = F.transform(F.col("__asked"), lambda k: k.cast("string"))
+    given = F.transform(F.col("__items"), lambda i: F.coalesce(i["id"], F.lit("")))
+
+    def blank(c: Column) -> Column:
+        return F.length(F.trim(F.coalesce(c, F.lit("")))) == 0
+
+    fault = (
+        F.when(F.col("__items").isNull(), "invalid answer")
+        .when(F.array_sort(given) != F.array_sort(ids), "other ids")
+        .when(F.exists("__items", lambda i: ~F.coalesce(i["sector_code"].isin(codes), F.lit(False))), "invalid code")
+        .when(F.exists("__items", lambda i: ~F.coalesce(i["confidence"].isin("high", "medium", "low"), F.lit(False))), "invalid confidence")
+        .when(F.exists("__items", lambda i: blank(i["title_en"])), "empty title")
+        .when(F.exists("__items", lambda i: blank(i["summary_en"])), "empty summary")
+        .otherwise("")
+    )
+    return rows.withColumn("fault", fault).select(batch, "fault", F.when(F.col("fault") == "", ids).otherwise(F.array().cast("array<string>")).alias("ids"))
+
+
+def order_verdict(source: DataFrame, enriched: DataFrame, key: str, place: str) -> DataFrame:
+    """One row (n_source, n_enriched, n_elsewhere, same): whether two record lists have the same keys in the same order.
+
+    Positions come from ranges of the order, so no task sorts all rows.
+    """
+    a = distributed_positions(source.select(key, place).withColumn("__one", F.lit(1)), ["__one"], [place, key], "__a").select(key, "__a")
+    b = distributed_positions(enriched.select(key, place).withColumn("__one", F.lit(1)), ["__one"], [place, key], "__b").select(key, "__b")
+    both = a.join(b, key, "full_outer").agg(F.count("__a").alias("n_source"), F.count("__b").alias("n_enriched"), F.count_if(~F.col("__a").eqNullSafe(F.col("__b"))).alias("n_elsewhere"))
+    return both.withColumn("same", (F.col("n_source") == F.col("n_enriched")) & (F.col("n_elsewhere") == 0))

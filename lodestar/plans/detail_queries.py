@@ -82,9 +82,10 @@ def title_from_address(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalogue_order(spark: SparkSession, d: str) -> DataFrame:
-    """The first hundred records in catalogue order."""
+    """All records with their place in catalogue order, found by ranges, not in one task."""
     cat = catalogue(spark, d, ["title", "org_name"])
-    return cat.orderBy(F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("org_name", F.lit(""))), "id").limit(100).select("id")
+    keyed = cat.select("id", F.lit(1).alias("all"), F.lower(F.coalesce("title", F.lit(""))).alias("t"), F.lower(F.coalesce("org_name", F.lit(""))).alias("o"))
+    return distributed_positions(keyed, ["all"], ["t", "o", "id"], "place").select("id", "place")
 
 
 def readiness_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +135,7 @@ SQL = {
 l AS (SELECT *, coalesce(coalesce(sector_labels, [])[CASE WHEN hit = 0 THEN 1 ELSE hit END], sector, '') AS label, greatest(len(coalesce(sector_labels, [])) - 1, 0) AS more FROM k)
 SELECT id, {_ESC.format('label')} || CASE WHEN more > 0 AND label <> '' THEN ' +' || more ELSE '' END AS sector, CASE WHEN regexp_full_match(reg_date, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN coalesce(strftime(TRY_CAST(reg_date AS DATE), '%-d %b %Y'), '') ELSE '' END AS shown_date, coalesce({_ESC.format('title')}, '') AS title FROM l""",
     "title_from_address": f"WITH {CAT}, w AS (SELECT id, string_split(regexp_replace(regexp_extract(url, '([^/]+)/?$', 1), '[-_]+', ' ', 'g'), ' ') AS ws FROM cat WHERE length(url) > 0) SELECT id, array_to_string(list_transform(ws, lambda x: upper(left(x, 1)) || lower(substr(x, 2))), ' ') AS title FROM w",
-    "catalogue_order": f"WITH {CAT} SELECT id FROM cat ORDER BY lower(coalesce(title, '')) COLLATE C, lower(coalesce(org_name, '')) COLLATE C, id LIMIT 100",
+    "catalogue_order": f"WITH {CAT} SELECT id, row_number() OVER (ORDER BY lower(coalesce(title, '')) COLLATE C, lower(coalesce(org_name, '')) COLLATE C, id) - 1 AS place FROM cat",
     "readiness_levels": "SELECT CAST(coalesce(nullif(regexp_extract(text, 'TRL\\s*(\\d)', 1), ''), '0') AS INT) AS level, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "product_scan": f"WITH {CAT}, c AS (SELECT *, trim(regexp_replace(org_name, '[\\s\\x{{A0}}\\x{{3000}}]+', ' ', 'g')) AS o FROM cat WHERE length(trim(title)) > 0 AND length(trim(org_name)) > 0) SELECT id AS page, 'about ' || id AS summary, CASE WHEN length(id) % 2 = 0 THEN 'https://products.example/0' ELSE 'https://products.example/k%201' END AS url, CAST(length(o) AS INT) AS n_institute FROM c",
     "section_scan": "SELECT id, CAST(1 AS BIGINT) AS section, 'About us' AS title, 'Some words on the site.' AS summary FROM catalogue_source UNION ALL SELECT id, 3, trim(regexp_replace(coalesce(name, '') || ' works', '\\s+', ' ', 'g')), 'First paragraph here. Second paragraph here.' FROM catalogue_source",

@@ -12,18 +12,16 @@ from lodestar.operators.records import latest_per_key
 from lodestar.plans.catalogue import CAT, SEARCHABLE, SEARCHED, catalogue, norm, searchable
 from lodestar.storage import table
 
-NEWER, OLDER = 2, 1
-
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
 def project_technology(spark: SparkSession, d: str) -> DataFrame:
-    """Snapshot rows as catalogue records: constants of the source, defaults, labels."""
-    s = table(spark, d, "snapshot_record").where(F.col("snapshot_no") == NEWER)
+    """The latest delivery of every snapshot id as a catalogue record: constants of the source, defaults, labels."""
+    s = table(spark, d, "snapshot_record")
     src = table(spark, d, "catalogue_source").select(F.col("id").alias("source_id"), "name", F.col("country").alias("source_country"), "institution", F.col("transfer_type").alias("kind"))
-    kept = latest_per_key(s.select("source_id", text.clean_space(F.col("id")).alias("id"), "fetched_at", "title", "summary", "institute", "trl", "url", "sector_codes"), ["source_id", "id"], ["fetched_at", "title", "summary", "institute", "trl", "url"], ["title", "summary", "institute", "trl", "url", "sector_codes"])
+    kept = latest_per_key(s.select("source_id", text.clean_space(F.col("id")).alias("id"), "snapshot_no", "fetched_at", "title", "summary", "institute", "trl", "url", "sector_codes"), ["source_id", "id"], ["snapshot_no", "fetched_at", "title", "summary", "institute", "trl", "url"], ["title", "summary", "institute", "trl", "url", "sector_codes"])
     org = F.coalesce(F.nullif("institute", F.lit("")), "institution", F.lit(""))
     return kept.join(src, "source_id", "left").select("id", "source_id", F.coalesce("name", F.lit("")).alias("source_name"), F.coalesce("source_country", F.lit("")).alias("country"), F.coalesce("title", F.lit("")).alias("title"), F.length(F.coalesce("summary", F.lit(""))).alias("summary_chars"), org.alias("org_name"), F.coalesce("kind", F.lit("")).alias("transfer_type"), F.coalesce("trl", F.lit("")).alias("dev_status"), F.lit(taxonomy.SCHEME).alias("taxonomy_scheme"))
 
@@ -49,24 +47,37 @@ def duplicate_values(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.duplicates(table(spark, d, "technology"), {"id": F.col("id"), "url": F.col("url"), "title": text.normalised(F.col("title"))})
 
 
-def snapshot_diff_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of added, removed, changed and shared ids between two snapshots, per source."""
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    """All snapshots with the number of the delivery of the same source before each (null for the first)."""
+    s = table(spark, d, "snapshot_record")
+    w = Window.partitionBy("source_id").orderBy("snapshot_no")
+    deliveries = s.select("source_id", "snapshot_no").distinct().select("source_id", "snapshot_no", F.lag("snapshot_no").over(w).alias("before_no"))
+    return s.join(deliveries, ["source_id", "snapshot_no"])
 
-    def side(n: int) -> DataFrame:
-        content = F.md5(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit(""))))
-        rows = table(spark, d, "snapshot_record").where(F.col("snapshot_no") == n).select("source_id", F.trim("id").alias("id"), "fetched_at", content.alias("h"))
-        return latest_per_key(rows, ["source_id", "id"], ["fetched_at"], ["h"])
 
-    old, new = side(OLDER).withColumnRenamed("h", "a"), side(NEWER).withColumnRenamed("h", "b")
-    both = old.join(new, ["source_id", "id"], "full_outer")
-    return both.groupBy("source_id").agg(F.count_if(F.col("a").isNull()).alias("added"), F.count_if(F.col("b").isNull()).alias("removed"), F.count_if(F.col("a") != F.col("b")).alias("changed"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"))
+def snapshot_diff_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of added, removed, changed and shared ids of every two successive deliveries of a source."""
+    content = F.md5(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit(""))))
+    s = table(spark, d, "snapshot_record").where(F.col("source_id").isNotNull())
+    rows = latest_per_key(s.select("source_id", "snapshot_no", F.trim("id").alias("id"), "fetched_at", content.alias("h")), ["source_id", "snapshot_no", "id"], ["fetched_at"], ["h"])
+    w = Window.partitionBy("source_id").orderBy("snapshot_no")
+    steps = s.select("source_id", "snapshot_no").distinct().select("source_id", "snapshot_no", F.lead("snapshot_no").over(w).alias("after"))
+    rows = rows.join(steps, ["source_id", "snapshot_no"])
+    # every row stands once as the newer and once as the older side, so one aggregation by key compares all pairs
+    sides = rows.select("source_id", "id", F.col("snapshot_no").alias("no"), F.lit(None).cast("string").alias("a"), F.col("h").alias("b")).unionByName(rows.where(F.col("after").isNotNull()).select("source_id", "id", F.col("after").alias("no"), F.col("h").alias("a"), F.lit(None).cast("string").alias("b")))
+    both = sides.groupBy("source_id", "no", "id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    first = s.groupBy("source_id").agg(F.min("snapshot_no").alias("first"))
+    counted = both.join(first, "source_id").where(F.col("no") > F.col("first"))
+    return counted.groupBy("source_id", F.col("no").alias("snapshot_no")).agg(F.count_if(F.col("a").isNull()).alias("added"), F.count_if(F.col("b").isNull()).alias("removed"), F.count_if(F.col("a") != F.col("b")).alias("changed"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"))
 
 
 def snapshot_validation(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "snapshot_record")
-    before = s.where(F.col("snapshot_no") == OLDER).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    now = s.where(F.col("snapshot_no") == NEWER).select("source_id", F.trim("id").alias("id"), "title", "url")
-    return maintenance.validated(now, "source_id", "id", "title", "url", 3, before)
+    """Every delivery of every source judged against the one before it."""
+    s = _numbered(spark, d)
+    key = F.concat_ws("|", "source_id", "snapshot_no")
+    before = s.groupBy("source_id", "snapshot_no").agg(F.count(F.lit(1)).alias("n_rows"), F.max("before_no").alias("before_no"))
+    previous = before.alias("x").join(before.alias("y"), (F.col("x.source_id") == F.col("y.source_id")) & (F.col("x.before_no") == F.col("y.snapshot_no"))).select(F.concat_ws("|", "x.source_id", "x.snapshot_no").alias("delivery"), F.col("y.n_rows").alias("n_rows"))
+    return maintenance.validated(s.select(key.alias("delivery"), F.trim("id").alias("id"), "title", "url"), "delivery", "id", "title", "url", 3, previous)
 
 
 def enriched_validation(spark: SparkSession, d: str) -> DataFrame:
@@ -83,14 +94,13 @@ def translation_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def incremental_pending(spark: SparkSession, d: str) -> DataFrame:
-    """Records of the newer snapshot that an index of the older one has not, or has with other content."""
-
-    def side(n: int) -> DataFrame:
-        digest = text.content_hash(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit(""))))
-        rows = table(spark, d, "snapshot_record").where(F.col("snapshot_no") == n).select(F.trim("id").alias("id"), "fetched_at", digest.alias("digest"))
-        return latest_per_key(rows, ["id"], ["fetched_at"], ["digest"])
-
-    return maintenance.pending(side(NEWER), side(OLDER), "id", "digest").select("id", "digest")
+    """Records of every delivery that an index of the delivery before it has not, or has with other content."""
+    digest = text.content_hash(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit(""))))
+    rows = _numbered(spark, d).select("source_id", F.col("snapshot_no"), "before_no", F.trim("id").alias("id"), "fetched_at", digest.alias("digest"))
+    kept = latest_per_key(rows, ["source_id", "snapshot_no", "id"], ["fetched_at"], ["digest", "before_no"])
+    key = F.concat_ws("|", "source_id", F.coalesce("snapshot_no", F.lit(-1)).cast("string"), "id")
+    older = F.concat_ws("|", "source_id", F.coalesce("before_no", F.lit(-1)).cast("string"), "id")
+    return maintenance.pending(kept.withColumn("key", older), kept.select(key.alias("key"), "digest"), "key", "digest").select("source_id", "snapshot_no", "id", "digest")
 
 
 def missing_from_index(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +110,8 @@ def missing_from_index(spark: SparkSession, d: str) -> DataFrame:
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value")
     old, new = rows.where(F.col("event_id") % 2 == 0), rows.where(F.col("event_id") % 2 == 1)
-    return latest_per_key(old.unionByName(new), ["user_id", "event_type"], ["ts", "event_id"], ["event_id", "value"])
+    version = F.struct("ts", "event_id")
+    return maintenance.upserted(old.withColumn("version", version), new.withColumn("version", version), ["user_id", "event_type"], "version").select("user_id", "event_type", "event_id", "value")
 
 
 def upsert_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +187,7 @@ def date_notation(spark: SparkSession, d: str) -> DataFrame:
 def title_patch(spark: SparkSession, d: str) -> DataFrame:
     """Titles of records replaced by the listed original ones, where there is one."""
     s = table(spark, d, "snapshot_record").where(F.length(F.trim("title_original")) > 0).groupBy(F.trim("id").alias("id")).agg(F.max("title_original").alias("listed"))
-    rows = table(spark, d, "snapshot_record").where(F.col("snapshot_no") == NEWER).groupBy(F.trim("id").alias("id")).agg(F.max("title").alias("title"))
+    rows = table(spark, d, "snapshot_record").groupBy(F.trim("id").alias("id")).agg(F.max_by("title", F.when(F.col("title").isNotNull(), F.struct("snapshot_no", "fetched_at", "title"))).alias("title"))
     return rows.join(s, "id", "left").select("id", F.coalesce("listed", "title").alias("title"))
 
 
@@ -212,7 +223,8 @@ def category_counts(spark: SparkSession, d: str) -> DataFrame:
     return catalogue(spark, d, ["sector", "record_type"]).groupBy(F.coalesce("sector", F.lit("")).alias("sector"), F.coalesce("record_type", F.lit("")).alias("record_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_SIDE = "SELECT source_id, trim(id) AS id, md5(coalesce(title, '') || chr(10) || coalesce(summary, '')) AS h FROM snapshot_record WHERE snapshot_no = {0} QUALIFY row_number() OVER (PARTITION BY source_id, trim(id) ORDER BY fetched_at DESC, md5(coalesce(title, '') || chr(10) || coalesce(summary, '')) DESC) = 1"
+_H = "md5(coalesce(title, '') || chr(10) || coalesce(summary, ''))"
+_KEPT = f"k AS (SELECT source_id, snapshot_no, trim(id) AS id, {_H} AS h FROM snapshot_record WHERE source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id, snapshot_no, trim(id) ORDER BY fetched_at DESC, {_H} DESC) = 1), dl AS (SELECT source_id, snapshot_no, lag(snapshot_no) OVER (PARTITION BY source_id ORDER BY snapshot_no) AS before_no FROM (SELECT DISTINCT source_id, snapshot_no FROM snapshot_record))"
 _STOP = "('" + "', '".join(text.STOP_WORDS) + "')"
 
 
@@ -231,23 +243,23 @@ def _repaired(x: str) -> str:
 
 _DOC = "substr('Title: ' || trim(coalesce(title, '')) || chr(10) || 'Summary: ' || trim(coalesce(summary, '')) || chr(10) || 'Keywords: ' || coalesce(array_to_string(keywords, ', '), '') || chr(10) || 'Institution: ' || trim(coalesce(org_name, '')), 1, 6000)"
 SQL = {
-    "project_technology": f"""WITH k AS (SELECT source_id, trim(regexp_replace(id, '\\s+', ' ', 'g')) AS id, title, summary, institute, trl, url FROM snapshot_record WHERE snapshot_no = 2
-  QUALIFY row_number() OVER (PARTITION BY source_id, trim(regexp_replace(id, '\\s+', ' ', 'g')) ORDER BY fetched_at DESC, title DESC NULLS LAST, summary DESC NULLS LAST, institute DESC NULLS LAST, trl DESC NULLS LAST, url DESC NULLS LAST) = 1)
+    "project_technology": f"""WITH k AS (SELECT source_id, trim(regexp_replace(id, '\\s+', ' ', 'g')) AS id, title, summary, institute, trl, url FROM snapshot_record
+  QUALIFY row_number() OVER (PARTITION BY source_id, trim(regexp_replace(id, '\\s+', ' ', 'g')) ORDER BY snapshot_no DESC, fetched_at DESC, title DESC NULLS LAST, summary DESC NULLS LAST, institute DESC NULLS LAST, trl DESC NULLS LAST, url DESC NULLS LAST) = 1)
 SELECT k.id, k.source_id, coalesce(s.name, '') AS source_name, coalesce(s.country, '') AS country, coalesce(title, '') AS title, CAST(length(coalesce(summary, '')) AS INT) AS summary_chars, coalesce(nullif(institute, ''), s.institution, '') AS org_name, coalesce(s.transfer_type, '') AS transfer_type, coalesce(trl, '') AS dev_status, 'ISO ICS' AS taxonomy_scheme FROM k LEFT JOIN catalogue_source s ON s.id = k.source_id""",
     "project_public_fields": f"WITH {CAT}, m AS (SELECT id, title, regexp_replace(coalesce(summary, ''), '(https?://\\S+|www\\.\\S+|\\S+@\\S+)', '[link]', 'g') AS summary FROM cat) SELECT * FROM m WHERE contains(summary, '[link]')",
     "dedupe_first_wins": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) = 1",
     "dedupe_richest": f"WITH {CAT} SELECT id, CAST(length(coalesce(summary, '')) AS INT) AS summary_chars FROM cat QUALIFY row_number() OVER (PARTITION BY lower(coalesce(title, '')), lower(coalesce(org_name, '')) ORDER BY length(coalesce(summary, '')) DESC, id) = 1",
     "duplicate_values": f"SELECT kind, value, count(*) AS n FROM (SELECT 'id' AS kind, id AS value FROM technology UNION ALL SELECT 'url', url FROM technology UNION ALL SELECT 'title', {norm('title')} FROM technology) WHERE length(value) > 0 GROUP BY 1, 2 HAVING count(*) > 1",
-    "snapshot_diff_counts": f"WITH a AS ({_SIDE.format(1)}), b AS ({_SIDE.format(2)}) SELECT coalesce(a.source_id, b.source_id) AS source_id, count(*) FILTER (a.id IS NULL) AS added, count(*) FILTER (b.id IS NULL) AS removed, count(*) FILTER (a.h <> b.h) AS changed, count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) AS shared FROM a FULL JOIN b ON a.source_id = b.source_id AND a.id = b.id GROUP BY 1",
-    "snapshot_validation": """WITH p AS (SELECT source_id, count(*) AS before FROM snapshot_record WHERE snapshot_no = 1 GROUP BY 1),
-r AS (SELECT source_id, trim(coalesce(id, '')) AS id, trim(coalesce(title, '')) AS title, trim(coalesce(url, '')) AS url FROM snapshot_record WHERE snapshot_no = 2),
-i AS (SELECT source_id, id, count(*) AS n FROM r GROUP BY 1, 2),
-c AS (SELECT source_id, count(*) AS n_rows, CAST(sum((id = '')::INT) AS BIGINT) AS no_id, CAST(sum((title = '')::INT) AS BIGINT) AS no_title, CAST(sum((url = '')::INT) AS BIGINT) AS no_url, CAST(sum((url <> '' AND NOT regexp_matches(url, '^https?://[^/?#\\s]+'))::INT) AS BIGINT) AS bad_url FROM r GROUP BY 1),
-d AS (SELECT source_id, count(*) FILTER (n > 1 AND id <> '') AS duplicate_ids FROM i GROUP BY 1)
-SELECT c.*, d.duplicate_ids, array_to_string(list_filter([CASE WHEN n_rows < 3 THEN 'too few rows' END, CASE WHEN no_id > 0 THEN 'missing ids' END, CASE WHEN no_title > 0 THEN 'missing titles' END, CASE WHEN no_url > 0 THEN 'missing urls' END, CASE WHEN bad_url > 0 THEN 'invalid urls' END, CASE WHEN duplicate_ids > 0 THEN 'duplicate ids' END, CASE WHEN n_rows < floor(before * 0.85::DOUBLE) THEN 'row count dropped' END], lambda x: x IS NOT NULL), '; ') AS errors FROM c JOIN d USING (source_id) LEFT JOIN p USING (source_id)""",
+    "snapshot_diff_counts": f"WITH {_KEPT}, n AS (SELECT d.source_id, d.snapshot_no, k.id, k.h FROM dl d JOIN k ON k.source_id = d.source_id AND k.snapshot_no = d.snapshot_no WHERE before_no IS NOT NULL), o AS (SELECT d.source_id, d.snapshot_no, k.id, k.h FROM dl d JOIN k ON k.source_id = d.source_id AND k.snapshot_no = d.before_no) SELECT coalesce(n.source_id, o.source_id) AS source_id, coalesce(n.snapshot_no, o.snapshot_no) AS snapshot_no, count(*) FILTER (o.id IS NULL) AS added, count(*) FILTER (n.id IS NULL) AS removed, count(*) FILTER (o.h <> n.h) AS changed, count(*) FILTER (o.id IS NOT NULL AND n.id IS NOT NULL) AS shared FROM o FULL JOIN n ON o.source_id = n.source_id AND o.snapshot_no = n.snapshot_no AND o.id = n.id GROUP BY 1, 2",
+    "snapshot_validation": """WITH s AS (SELECT source_id || '|' || snapshot_no AS delivery, * FROM snapshot_record), q AS (SELECT source_id, snapshot_no, delivery, count(*) AS n FROM s GROUP BY 1, 2, 3), p AS (SELECT delivery, lag(n) OVER (PARTITION BY source_id ORDER BY snapshot_no) AS before FROM q),
+r AS (SELECT delivery, trim(coalesce(id, '')) AS id, trim(coalesce(title, '')) AS title, trim(coalesce(url, '')) AS url FROM s),
+i AS (SELECT delivery, id, count(*) AS n FROM r GROUP BY 1, 2),
+c AS (SELECT delivery, count(*) AS n_rows, CAST(sum((id = '')::INT) AS BIGINT) AS no_id, CAST(sum((title = '')::INT) AS BIGINT) AS no_title, CAST(sum((url = '')::INT) AS BIGINT) AS no_url, CAST(sum((url <> '' AND NOT regexp_matches(url, '^https?://[^/?#\\s]+'))::INT) AS BIGINT) AS bad_url FROM r GROUP BY 1),
+d AS (SELECT delivery, count(*) FILTER (n > 1 AND id <> '') AS duplicate_ids FROM i GROUP BY 1)
+SELECT c.*, d.duplicate_ids, array_to_string(list_filter([CASE WHEN n_rows < 3 THEN 'too few rows' END, CASE WHEN no_id > 0 THEN 'missing ids' END, CASE WHEN no_title > 0 THEN 'missing titles' END, CASE WHEN no_url > 0 THEN 'missing urls' END, CASE WHEN bad_url > 0 THEN 'invalid urls' END, CASE WHEN duplicate_ids > 0 THEN 'duplicate ids' END, CASE WHEN n_rows < floor(before * 0.85::DOUBLE) THEN 'row count dropped' END], lambda x: x IS NOT NULL), '; ') AS errors FROM c JOIN d USING (delivery) LEFT JOIN p USING (delivery)""",
     "enriched_validation": "WITH r AS (SELECT * FROM snapshot_record WHERE title_translation_status IS NOT NULL), a AS (SELECT count(*) AS n, count(*) FILTER (length(trim(coalesce(title, ''))) = 0) AS empty_titles, count(*) FILTER (length(trim(coalesce(summary, ''))) = 0) AS empty_summaries, count(*) FILTER (NOT coalesce(sector_code IN ('" + "', '".join([*taxonomy.TOP_LEVEL, taxonomy.OTHER]) + "'), false)) AS invalid_codes, count(*) FILTER (coalesce(regexp_matches(title, '[\\x{0E00}-\\x{0E7F}]'), false)) AS thai_titles FROM r) SELECT *, thai_titles > greatest(3, ceil(n * 0.02::DOUBLE)) AS too_many_thai FROM a",
     "translation_outcomes": "SELECT CASE WHEN length(title_original) % 7 = 0 THEN 'quota_exceeded' WHEN length(title_original) % 11 = 0 THEN 'api_error' WHEN " + " OR ".join(f"contains(upper(coalesce(title, '')), '{m}')" for m in text.TRANSLATION_ERRORS) + " THEN 'quota_exceeded' WHEN trim(coalesce(title, '')) = '' OR lower(trim(title)) = lower(trim(title_original)) THEN 'original_preserved' ELSE 'translated' END AS status, count(*) AS n FROM snapshot_record WHERE title_original IS NOT NULL GROUP BY 1",
-    "incremental_pending": "WITH s AS (SELECT snapshot_no, trim(id) AS id, sha256(coalesce(title, '') || chr(10) || coalesce(summary, '')) AS digest FROM snapshot_record WHERE snapshot_no IN (1, 2) QUALIFY row_number() OVER (PARTITION BY snapshot_no, trim(id) ORDER BY fetched_at DESC, sha256(coalesce(title, '') || chr(10) || coalesce(summary, '')) DESC) = 1) SELECT n.id, n.digest FROM s n LEFT JOIN s o ON o.id = n.id AND o.snapshot_no = 1 WHERE n.snapshot_no = 2 AND (o.id IS NULL OR o.digest <> n.digest)",
+    "incremental_pending": "WITH s AS (SELECT source_id, snapshot_no, trim(id) AS id, sha256(coalesce(title, '') || chr(10) || coalesce(summary, '')) AS digest FROM snapshot_record QUALIFY row_number() OVER (PARTITION BY source_id, snapshot_no, trim(id) ORDER BY fetched_at DESC, sha256(coalesce(title, '') || chr(10) || coalesce(summary, '')) DESC) = 1), dl AS (SELECT source_id, snapshot_no, lag(snapshot_no) OVER (PARTITION BY source_id ORDER BY snapshot_no) AS before_no FROM (SELECT DISTINCT source_id, snapshot_no FROM snapshot_record)) SELECT n.source_id, n.snapshot_no, n.id, n.digest FROM s n JOIN dl USING (source_id, snapshot_no) LEFT JOIN s o ON o.source_id = n.source_id AND o.snapshot_no = dl.before_no AND o.id = n.id WHERE o.id IS NULL OR o.digest <> n.digest",
     "missing_from_index": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "upsert_latest": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "upsert_terms": "SELECT user_id, event_type, round(max(least(1::DOUBLE, greatest(0::DOUBLE, value / 100))), 6) AS relevance, count(*) AS evidence_count, max(ts) AS last_seen FROM events GROUP BY 1, 2",
@@ -264,7 +276,7 @@ SELECT c.*, d.duplicate_ids, array_to_string(list_filter([CASE WHEN n_rows < 3 T
     "slugs": f"WITH {CAT} SELECT id, coalesce(left(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 50), '') AS slug FROM cat",
     "source_initials": "SELECT id, upper(array_to_string(list_transform(list_filter(string_split(coalesce(name, ''), ' '), lambda w: length(w) > 3)[1:2], lambda w: left(w, 1)), '')) AS initials FROM catalogue_source",
     "date_notation": f"WITH {CAT} SELECT id, CASE WHEN regexp_full_match(reg_date, '\\d{{8}}') THEN substr(reg_date, 1, 4) || '-' || substr(reg_date, 5, 2) || '-' || substr(reg_date, 7, 2) ELSE reg_date END AS reg_date, CASE WHEN length(reg_date) = 0 THEN '0' WHEN length(reg_date) <= 20 THEN '1-20' ELSE '21-50' END AS bucket FROM cat WHERE reg_date IS NOT NULL",
-    "title_patch": "WITH l AS (SELECT trim(id) AS id, max(title_original) AS listed FROM snapshot_record WHERE length(trim(title_original)) > 0 GROUP BY 1), r AS (SELECT trim(id) AS id, max(title) AS title FROM snapshot_record WHERE snapshot_no = 2 GROUP BY 1) SELECT r.id, coalesce(listed, title) AS title FROM r LEFT JOIN l ON l.id = r.id",
+    "title_patch": "WITH l AS (SELECT trim(id) AS id, max(title_original) AS listed FROM snapshot_record WHERE length(trim(title_original)) > 0 GROUP BY 1), r AS (SELECT trim(id) AS id, title FROM snapshot_record QUALIFY row_number() OVER (PARTITION BY trim(id) ORDER BY title IS NULL, snapshot_no DESC, fetched_at DESC, title DESC) = 1) SELECT r.id, coalesce(listed, title) AS title FROM r LEFT JOIN l ON l.id = r.id",
     "mapping_integrity": "SELECT 'unknown code' AS problem, code AS value FROM (SELECT unnest(ics_codes) AS code FROM source_sector_map) WHERE code NOT IN (SELECT code FROM ics_sector) UNION ALL SELECT 'preferred twice', preferred_query_for FROM ntb_to_ics WHERE length(trim(preferred_query_for)) > 0 GROUP BY 2 HAVING count(*) > 1",
     "label_code_union": "SELECT lower(source_sector) AS category, array_to_string(ics_codes, '|') AS codes FROM source_sector_map WHERE len(ics_codes) > 0",
     "filter_delta": f"WITH {CAT}, o AS (SELECT id, list_sort(list_distinct(list(sector_code))) AS now FROM sector_override GROUP BY 1) SELECT c.id, array_to_string(list_sort(list_filter(now, lambda x: NOT list_contains(coalesce(sector_codes, []), x))), '|') AS added, array_to_string(list_sort(list_distinct(list_filter(coalesce(sector_codes, []), lambda x: NOT list_contains(now, x)))), '|') AS removed FROM cat c JOIN o ON o.id = c.id",

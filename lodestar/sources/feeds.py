@@ -70,3 +70,22 @@ def nodes(df: DataFrame, json: str, country_names: DataFrame, base_url: str) ->
     refs = flat.select("id", F.posexplode("__refs").alias("pos", "ref")).select("id", "pos", F.expr("try_cast(ref AS INT)").alias("tid"))
     named = refs.join(country_names.select("tid", "name"), "tid").groupBy("id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"])).alias("countries"))
     return flat.drop("__refs").join(named, "id", "left").withColumn("countries", F.coalesce("countries", F.array(F.lit("Unspecified"))))
+
+
+def patent_projection(df: DataFrame, number: str, document_base: str, list_url: str) -> DataFrame:
+    """``df`` with url, reference_id and record_type of a patent list: a number of digits only is a granted patent with a document of its own, anything else an application found on the list."""
+    reference = F.trim(F.coalesce(F.col(number), F.lit("")))
+    granted = reference.rlike(r"^[0-9]+$")
+    return df.withColumns({"url": F.when(granted, F.concat(F.lit(f"{document_base}/US"), reference, F.lit("B2.pdf"))).otherwise(list_url), "reference_id": reference, "record_type": F.when(granted, "US Patent").otherwise("US Patent Application")})
+
+
+def patent_links(df: DataFrame, number: str, title: str, document_base: str, search_base: str) -> DataFrame:
+    """``df`` with destination, reference_label, reference_shown and subject: where a patent's card leads and how an inquiry about it begins."""
+    reference = F.trim(F.coalesce(F.col(number), F.lit("")))
+    granted = reference.rlike(r"^[0-9]+$")
+    quoted = F.concat(F.lit('"'), reference, F.lit('" "'), F.coalesce(F.col(title), F.lit("")), F.lit('"'))
+    named = F.when(reference == "", F.coalesce(F.col(title), F.lit(""))).otherwise(F.concat(F.when(granted, "US Patent ").otherwise("US Patent Application "), reference))
+    return df.withColumns({
+        "destination": F.when(granted, F.concat(F.lit(f"{document_base}/US"), reference, F.lit("B2.pdf"))).otherwise(F.concat(F.lit(search_base), F.replace(F.url_encode(quoted), F.lit("+"), F.lit("%20")))),
+        "reference_label": F.when(granted, "US patent number").otherwise("US application number"), "reference_shown": F.when(reference == "", "See the listing").when(granted, F.concat(F.lit("US "), reference)).otherwise(reference), "subject": F.concat(F.lit("Licensing inquiry – "), named),
+    })
