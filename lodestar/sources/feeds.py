@@ -14,6 +14,15 @@ def _filled(*columns: Column, default: str = "") -> Column:
     return F.coalesce(*[F.nullif(clean_space(F.coalesce(c, F.lit(""))), F.lit("")) for c in columns], F.lit(default))
 
 
+def xml_answers(df: DataFrame, xml: str) -> DataFrame:
+    """(..., code, message, total, item) of whole answers of an XML feed: a row per item; an answer whose result code is not ``00`` has none, only its code and message."""
+    shape = f"header struct<resultCode:string,resultMsg:string>, body struct<items:struct<item:array<struct<{', '.join(p.replace(' ', ':') for p in ITEM.split(', ')).replace(', ', ',')}>>>,totalCount:long>"
+    a = df.withColumn("__a", F.from_xml(F.col(xml), shape)).drop(xml)
+    code = F.coalesce("__a.header.resultCode", F.lit(""))
+    items = F.when(code == "00", F.col("__a.body.items.item"))
+    return a.select(*[c for c in df.columns if c != xml], code.alias("code"), F.coalesce("__a.header.resultMsg", F.lit("")).alias("message"), F.coalesce("__a.body.totalCount", F.lit(0)).alias("total"), F.explode_outer(items).alias("item"))
+
+
 def xml_items(df: DataFrame, xml: str) -> DataFrame:
     """Catalogue fields of the ``<item>`` elements held in a column."""
     i = df.withColumn("__i", F.from_xml(F.col(xml), ITEM)).drop(xml)
@@ -43,12 +52,14 @@ def patent_hits(df: DataFrame, json: str) -> DataFrame:
     )
 
 
-def nodes(df: DataFrame, json: str, country_names: DataFrame, base_url: str) -> DataFrame:
+def nodes(df: DataFrame, json: str, country_names: DataFrame, base_url: str, sector_names: DataFrame | None = None) -> DataFrame:
     """Catalogue fields of published nodes held as JSON.
 
     Nodes without id or title and unpublished ones are dropped. References to countries
     are resolved by an equi join per reference, in order, each name once; unknown ones are
     skipped. ``search_summary`` joins all text fields, ``summary`` is the first of four.
+    ``sector_names`` (tid, name, code) resolves the references to sectors in the same way
+    into ``sectors`` and their distinct ``sector_codes``.
     """
     n = df.withColumn("__n", F.from_json(F.col(json), NODE))
 
@@ -65,11 +76,24 @@ def nodes(df: DataFrame, json: str, country_names: DataFrame, base_url: str) ->
         F.filter(F.transform(F.coalesce(F.col("__n.keywords.value"), F.array().cast("array<string>")), clean_space), lambda v: v != "").alias("keywords"),
         first("organization").alias("org_name"), F.coalesce(F.nullif(first("langcode"), F.lit("")), F.lit("en")).alias("language"), F.left(first("created"), F.lit(10)).alias("reg_date"),
         trl_label(first("readiness")).alias("dev_status"), F.when(F.startswith(alias, F.lit("/")), F.concat(F.lit(base_url), alias)).otherwise(F.concat(F.lit(base_url + "/node/"), first("nid"))).alias("url"),
-        F.col("__n.countries.target_id").alias("__refs"),
+        F.col("__n.countries.target_id").alias("__refs"), F.col("__n.sectors.target_id").alias("__own"),
     )
-    refs = flat.select("id", F.posexplode("__refs").alias("pos", "ref")).select("id", "pos", F.expr("try_cast(ref AS INT)").alias("tid"))
-    named = refs.join(country_names.select("tid", "name"), "tid").groupBy("id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"])).alias("countries"))
-    return flat.drop("__refs").join(named, "id", "left").withColumn("countries", F.coalesce("countries", F.array(F.lit("Unspecified"))))
+
+    def resolved(column: str, names: DataFrame, *fields: str) -> DataFrame:
+        refs = flat.select("id", F.posexplode(column).alias("pos", "ref")).select("id", "pos", F.expr("try_cast(ref AS INT)").alias("tid"))
+        listed = F.array_sort(F.collect_list(F.struct("pos", *fields)))
+
+        def only(f: str) -> Column:
+            return F.array_distinct(F.transform(listed, lambda x: x[f])).alias(f"{f}s")
+
+        return refs.join(names.select("tid", *fields), "tid").groupBy("id").agg(*[only(f) for f in fields])
+
+    found = flat.join(resolved("__refs", country_names, "name").withColumnRenamed("names", "countries"), "id", "left").withColumn("countries", F.coalesce("countries", F.array(F.lit("Unspecified"))))
+    if sector_names is not None:
+        none = F.array().cast("array<string>")
+        found = found.join(resolved("__own", sector_names, "name", "code").withColumnRenamed("names", "sectors").withColumnRenamed("codes", "sector_codes"), "id", "left")
+        found = found.withColumns({"sectors": F.coalesce("sectors", none), "sector_codes": F.coalesce("sector_codes", none)})
+    return found.drop("__refs", "__own")
 
 
 def patent_projection(df: DataFrame, number: str, document_base: str, list_url: str) -> DataFrame:
