@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions import text
 from lodestar.functions.text import html_escaped, repaired_encoding
-from lodestar.sources import feeds, pages
-from lodestar.storage import table
+from lodestar.operators import taxonomy
+from lodestar.plans.catalogue import CAT, catalogue
+from lodestar.sources import dimensions, feeds, html, pages, products, snapshots
+from lodestar.storage import shared_path, table
 
 
 def _plain(c: str) -> Column:
@@ -21,7 +24,7 @@ def detail_pages(spark: SparkSession, d: str) -> DataFrame:
     odd = F.col("doc_id") % 8 >= 4
     level = (F.col("doc_id") % 9).cast("string")
     title = F.concat(F.lit("Unit &amp; no "), "n")
-    words = F.concat(F.lit("About it: "), F.left("t", F.lit(60)), F.lit(" end"))
+    words = F.concat(F.lit("About it and its uses: "), F.left("t", F.lit(60)), F.lit(" end"))
     innovation = F.concat(F.when(F.col("doc_id") % 24 == 8, "<div class='other'>").otherwise("<div class='detail pageContent'>"), F.lit("<b>Area of Technology:</b> Water <br>Title of the Innovation: "), title, F.lit(" <p>Brief About Innovation</p> "), words, F.when(odd, "<a>Express Interest</a> now").otherwise(""), F.lit("</div>"))
     profile = F.concat(
         F.lit("<title>Page</title><table>"), F.when(odd, "").otherwise(F.concat(F.lit("<tr><td class='tech_caption'>Title :</td><td class='tech_data'>"), title, F.lit("</td></tr>"))), F.lit("<tr><td class='tech_caption'>Value Proposition</td><td class='tech_data'>"), words, F.lit("</td></tr><tr><td>x</td></tr></table><div><p><img src='/img/lab/a.png' alt=' The  Lab '></p>"),
@@ -71,6 +74,37 @@ def node_sectors(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", F.array_join("countries", ", ").alias("countries"), F.array_join("sectors", ", ").alias("sectors"), F.array_join("sector_codes", ",").alias("codes"))
 
 
+def listing_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles inside the links of listing pages, by the number in the address; of a number on several pages the latest page's."""
+    docs = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 20).alias("page"))
+    shown = docs.unionByName(docs.where(F.col("doc_id") % 20 == 0).select("doc_id", (F.col("page") + 1).alias("page")))
+    link = F.concat(F.lit("<a href='/content/"), F.col("doc_id"), F.lit("-x'><h5>No "), F.col("doc_id"), F.lit(" on "), F.col("page"), F.lit("</h5></a>"))
+    listed = shown.groupBy("page").agg(F.array_join(F.array_sort(F.collect_list(link)), "").alias("html"))
+    return products.listing_titles(html.page_elements(listed, "page", "html", "https://x.example/"), "page", r"/content/(\d+)-").select("id", "title")
+
+
+def published_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Records published into place as a whole, twice, and read again: the second publication replaces the first."""
+    target = shared_path(spark, "published")
+    rows = catalogue(spark, d, ["source_id"]).select("id", "source_id")
+    snapshots.publish(rows.limit(1), target, [])
+    snapshots.publish(rows, target, [])
+    return spark.read.parquet(target).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reviewed_file(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews written as CSV and read with their checks."""
+    path = shared_path(spark, "reviews")
+    table(spark, d, "sector_override").select("id", "sector_code", "reason").write.option("header", True).csv(path)
+    return dimensions.read_overrides(spark, path, set(taxonomy.LABELS) | {taxonomy.OTHER}).select("id")
+
+
+def request_values(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters as clients send them: lists in one value, and the address a request came from."""
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit(" a ,"), "event_type", F.lit(",, "), F.col("user_id")).alias("listed"), F.when(F.col("event_id") % 3 == 0, "x, 10.0.0.7 ").when(F.col("event_id") % 3 == 1, "nonsense").alias("forwarded"), F.when(F.col("event_id") % 2 == 0, "2001:DB8::1").otherwise("?").alias("peer"))
+    return e.select("event_id", F.array_join(text.csv_values(F.col("listed")), "|").alias("listed"), text.client_address(F.col("forwarded"), F.col("peer")).alias("address"))
+
+
 #: Letters and what their UTF-8 bytes look like when read as Mac Roman. Fixed values.
 BROKEN = [("é", "√©"), ("ü", "√º"), ("–", "‚Äì"), ("’", "‚Äô"), ("ñ", "√±")]
 
@@ -88,7 +122,7 @@ def escaped_titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 _T = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))"
-_W = f"trim(regexp_replace('About it: ' || left({_T}, 60) || ' end', ' +', ' ', 'g'))"
+_W = f"trim(regexp_replace('About it and its uses: ' || left({_T}, 60) || ' end', ' +', ' ', 'g'))"
 _ODD = "doc_id % 8 >= 4"
 SQL = {
     "detail_pages": f"""WITH p AS (SELECT doc_id, doc_id % 4 AS k, {_ODD} AS odd, 'Unit & no ' || doc_id AS title, {_W} AS w FROM documents)
@@ -100,6 +134,10 @@ SELECT doc_id, CASE WHEN k = 0 THEN title WHEN k = 1 THEN CASE WHEN odd THEN 'Pa
     "xml_answers": "WITH n AS (SELECT doc_id // 5 AS answer, count(*) AS n FROM documents GROUP BY 1) SELECT answer, '00' AS code, 'OK' AS message, n AS total, doc_id::VARCHAR AS stechNum, 'T & ' || doc_id AS techName FROM documents JOIN n ON answer = doc_id // 5 WHERE answer % 6 <> 1 UNION ALL SELECT answer, '22', 'LIMIT', n, NULL, NULL FROM n WHERE answer % 6 = 1",
     "node_sectors": "WITH r AS (SELECT doc_id, doc_id % 25 AS a, (doc_id * 7 + 1) % 31 AS b FROM documents) SELECT 'node_' || doc_id AS id, 'Unspecified' AS countries, 'Field ' || a || CASE WHEN y.n_nationkey IS NOT NULL AND b <> a THEN ', Field ' || b ELSE '' END AS sectors, 'C' || x.n_regionkey || CASE WHEN y.n_regionkey <> x.n_regionkey THEN ',C' || y.n_regionkey ELSE '' END AS codes FROM r JOIN nation x ON x.n_nationkey = a LEFT JOIN nation y ON y.n_nationkey = b",
     "encoding_broken": "SELECT doc_id, 'No ' || doc_id || ' caf" + "".join(a for a, _ in BROKEN) + "' AS text FROM documents",
+    "listing_titles": "SELECT doc_id::VARCHAR AS id, 'No ' || doc_id || ' on ' || CASE WHEN doc_id % 20 = 0 THEN doc_id // 20 + 1 ELSE doc_id // 20 END AS title FROM documents",
+    "published_snapshot": f"WITH {CAT} SELECT source_id, count(*) AS n FROM cat GROUP BY 1",
+    "reviewed_file": "SELECT DISTINCT trim(id) AS id FROM sector_override",
+    "request_values": "SELECT event_id, 'a|' || event_type || '|' || user_id AS listed, CASE WHEN event_id % 3 = 0 THEN '10.0.0.7' WHEN event_id % 2 = 0 THEN '2001:db8::1' ELSE 'unknown' END AS address FROM events",
     "escaped_titles": "SELECT id, '&lt;&#39;' || replace(replace(coalesce(name, ''), '&', '&amp;'), '''', '&#39;') || '&#39;&gt;' AS shown FROM catalogue_source",
 }
 QUERIES = {name: globals()[name] for name in SQL}
