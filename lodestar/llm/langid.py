@@ -241,13 +241,13 @@ def segment(costs: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 SEGMENTS = "seg_no int, start_char int, end_char int, lang string, confidence double, mixed boolean, right boolean"
 
 
-def identify(df: DataFrame, key: str, text: str, label: str | None, model: Broadcast, whole: bool = False, only_cases: bool = False) -> DataFrame:
+def identify(df: DataFrame, key: str, text: str, label: str | None, model: Broadcast, whole: bool = False, only_cases: bool = False, closest: bool = True) -> DataFrame:
     """One row per language segment of every text: offsets, language, confidence.
 
     A segment is a longest run of whole sentences in one language. ``confidence`` is the
     posterior of the language given the segment, and 0 where the length-normalised
     cross-entropy of the best language is above the calibrated limit (rejected; the
-    closest language is still named). ``right`` tells whether ``label`` names the language
+    closest language is still named if ``closest``, else it is null). ``right`` tells whether ``label`` names the language
     of an unmixed text. ``whole`` takes each text as one segment (titles); ``only_cases``
     keeps only texts that are mixed or whose label is not right.
 
@@ -289,8 +289,9 @@ def identify(df: DataFrame, key: str, text: str, label: str | None, model: Broad
                     c = cost[a + edges[k] : a + edges[k + 1]].sum(axis=0)
                     n = max(1, int(size[a + edges[k] : a + edges[k + 1]].sum()))
                     lang = int(path[edges[k]])
-                    sure = 1.0 / np.exp(np.minimum(c[lang] - c, 0) * 1.0).sum() if c[lang] / n <= reject else 0.0
-                    for column, v in zip(out, (i, k + 1, spans[i][edges[k]][0], spans[i][edges[k + 1] - 1][1], names[lang], float(round(sure, 6)), mixed, right)):
+                    known = c[lang] / n <= reject
+                    sure = 1.0 / np.exp(np.minimum(c[lang] - c, 0)).sum() if known else 0.0
+                    for column, v in zip(out, (i, k + 1, spans[i][edges[k]][0], spans[i][edges[k + 1] - 1][1], names[lang] if known or closest else None, float(round(sure, 6)), mixed, right)):
                         column.append(v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.string()), pa.array(out[5], pa.float64()), pa.array(out[6], pa.bool_()), pa.array(out[7], pa.bool_())],
@@ -301,8 +302,14 @@ def identify(df: DataFrame, key: str, text: str, label: str | None, model: Broad
     return df.select(*picked).mapInArrow(run, T.StructType([T.StructField("k", kind), *fields])).withColumnRenamed("k", key)
 
 
-def calibrated(model: LanguageModel, held_out: Iterable[str], quantile: float = 0.995, slack: float = 1.5) -> LanguageModel:
-    """Set the rejection limit from texts of known languages: a high quantile of their best cross-entropies times a slack."""
+#: The limit of rejection: this quantile of the cross-entropies of held-out sentences, times a slack for text of other kinds.
+KNOWN, SLACK = 0.99, 1.4
+#: One sentence in so many is held out for it.
+HELD_OUT = 5
+
+
+def calibrated(model: LanguageModel, held_out: Iterable[str], quantile: float = KNOWN, slack: float = SLACK) -> LanguageModel:
+    """Set the rejection limit from texts of known languages that the model has not seen."""
     if not model.languages:
         return model
     cost, size = Scorer(model).costs_of([t.lower() for t in held_out if t])
@@ -310,3 +317,12 @@ def calibrated(model: LanguageModel, held_out: Iterable[str], quantile: float =
     if known.any():
         model.reject = float(np.quantile(cost[known].min(axis=1) / size[known], quantile) * slack)
     return model
+
+
+def fit_with_limit(seed: list[tuple[str, str]], more: list[tuple[str, str]]) -> LanguageModel:
+    """Models of all samples, with the limit that models of four fifths of them need for the rest."""
+    samples = [*seed, *more]
+    part = fit_language_model([x for i, x in enumerate(samples) if i % HELD_OUT])
+    model = fit_language_model(samples)
+    model.reject = calibrated(part, [t for i, (_, t) in enumerate(samples) if i % HELD_OUT == 0]).reject
+    return model

@@ -50,8 +50,7 @@ def language_model(spark: SparkSession, d: str) -> Broadcast:
             agreed = sum(len(u) for u, b in zip(units, best) if b == i)
             if agreed >= 0.8 * sum(map(len, units)):
                 more += [(first.languages[i], u) for u, c in zip(units, cost) if c[i] - c.min() < 40]
-    model = langid.calibrated(langid.fit_language_model(seed + more), [t for _, t in seed])
-    return spark.sparkContext.broadcast(model)
+    return spark.sparkContext.broadcast(langid.fit_with_limit(seed, more))
 
 
 def _residue_of(spark: SparkSession, d: str, fields: list[str]) -> DataFrame:
@@ -83,11 +82,11 @@ def _by_table(parts: list[tuple[str, DataFrame]], *columns) -> DataFrame:
 
 
 def _segments(spark: SparkSession, d: str, columns: list[str], only_cases: bool) -> DataFrame:
-    """Language segments of documents, technology summaries less residue, and snapshot titles."""
+    """Language segments of documents, technology summaries less residue, and snapshot titles; cases name the closest language also where it is rejected."""
     model = language_model(spark, d)
-    docs = langid.identify(_documents(spark, d), "rec_key", "text", "lang", model, only_cases=only_cases)
-    techs = langid.identify(_technologies(spark, d), "rec_key", "text", "lang", model, only_cases=only_cases)
-    named = langid.identify(_titles(spark, d), "rec_key", "text", None, model, whole=True)
+    docs = langid.identify(_documents(spark, d), "rec_key", "text", "lang", model, only_cases=only_cases, closest=only_cases)
+    techs = langid.identify(_technologies(spark, d), "rec_key", "text", "lang", model, only_cases=only_cases, closest=only_cases)
+    named = langid.identify(_titles(spark, d), "rec_key", "text", None, model, whole=True, closest=only_cases)
     return _by_table([("technology", _without_residue(techs.select(*columns).distinct(), spark, d)), ("documents", docs), ("snapshot_record", named)], *columns)
 
 
@@ -96,7 +95,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Every language segment of every text with offsets and confidence."""
+    """Every language segment of every text with offsets and confidence; a segment in none of the known languages has a null language and confidence 0."""
     return _segments(spark, d, ["rec_key", "seg_no", "start_char", "end_char", "lang", "confidence", "mixed"], False)
 
 

@@ -121,3 +121,22 @@ def test_labelled_documents_agree(model):
             right += model.languages[int(cost.sum(axis=0).argmin())] == code
             total += 1
     assert right / total > 0.9  # some labels are wrong
+
+
+FOREIGN = [
+    "La pompe économise l'eau pendant la saison sèche et coûte environ vingt pour cent de moins.", "Die Pumpe spart Wasser in der Trockenzeit und kostet etwa zwanzig Prozent weniger als andere.", "La bomba ahorra agua en la temporada seca y cuesta un veinte por ciento menos.",
+    "Насос экономит воду в сухой сезон и стоит на двадцать процентов меньше.", "Pompa oszczędza wodę w porze suchej i kosztuje o dwadzieścia procent mniej.", "Η αντλία εξοικονομεί νερό την ξηρή περίοδο.", "Pumppu säästää vettä kuivana kautena ja maksaa noin kaksikymmentä prosenttia vähemmän.",
+]
+
+
+def test_segments_in_no_known_language_are_rejected(spark, data):
+    from lodestar.llm.queries import language_model
+
+    model = language_model(spark, "/root/testdata/sf0.01")
+    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["text"]).text.dropna().sample(400, random_state=7).tolist()
+    df = spark.createDataFrame([(f"f{i}", t, "en") for i, t in enumerate(FOREIGN)] + [(f"d{i}", t, "en") for i, t in enumerate(docs)], "k string, t string, label string")
+    got = langid.identify(df, "k", "t", "label", model, closest=False).collect()
+    assert all(r["lang"] is None and r["confidence"] == 0 for r in got if r["k"][0] == "f") and len({r["k"] for r in got if r["k"][0] == "f"}) == len(FOREIGN)
+    known = [r for r in got if r["k"][0] == "d"]
+    assert sum(r["lang"] is None for r in known) <= 0.02 * len(known)
+    assert all(r["lang"] for r in langid.identify(df, "k", "t", "label", model).collect())
