@@ -311,16 +311,17 @@ def unfilled_slots(facts: DataFrame, columns: list[str]) -> DataFrame:
     marks = facts.where(F.size("marks") > 0).select("id", "field", "source_id", F.explode("marks").alias("m")).select("id", "field", "source_id", "m.*")
     marks = written(marks.distinct(), "marks")
     plain = F.col("frame").isin("[\x1f]", "(\x1f)", "<\x1f>")
-    per = marks.groupBy("frame", "name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("inside").cast("long")).alias("n_inside"), F.count_distinct("source_id").alias("sources"))
+    per = marks.groupBy("frame", "name", "source_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("inside").cast("long")).alias("n_inside"))
+    per = written(per.groupBy("frame", "name").agg(F.sum("n").alias("n"), F.sum("n_inside").alias("n_inside"), F.count(F.lit(1)).alias("sources")), "names")
     totals = per.groupBy("frame").agg(F.sum("n").alias("all"))
     frames = per.groupBy("name").agg(F.count(F.lit(1)).alias("frames"))
     ident = F.col("name").rlike(r"^[^\W\d_]+(?:[._][^\W_]+)+$") | F.col("name").isin(*[c.lower() for c in columns])
     often = (F.col("n_inside") >= REPEATS) & (F.col("sources") >= SOURCES) & (F.col("n") * 10 >= F.col("all")) & ~plain
-    judged = per.join(totals, "frame").join(frames, "name").withColumn("variable", ident | (F.col("frames") >= 2) | often)
+    judged = written(per.join(totals, "frame").join(frames, "name").withColumn("ident", ident).withColumn("variable", F.col("ident") | (F.col("frames") >= 2) | often), "judged")
     single = F.when(F.col("variable"), F.col("n")).otherwise(0)
-    notations = judged.where(~plain).groupBy("frame").agg(F.sum("n").alias("n"), F.max("sources").alias("s"), F.sum(single).alias("v"), F.sum(F.when(ident, F.col("n")).otherwise(0)).alias("i"))
+    notations = judged.where(~plain).groupBy("frame").agg(F.sum("n").alias("n"), F.max("sources").alias("s"), F.sum(single).alias("v"), F.sum(F.when(F.col("ident"), F.col("n")).otherwise(0)).alias("i"))
     notations = notations.where((F.col("v") >= NAMED * F.col("n")) & ((F.col("n") >= REPEATS) | (F.col("i") > 0))).select("frame")
-    names = judged.where(F.col("variable") & ((F.col("frames") >= 2) | ident)).select("name").distinct()
+    names = judged.where(F.col("variable") & ((F.col("frames") >= 2) | F.col("ident"))).select("name").distinct()
     bracketed = judged.where(plain).join(names, "name", "left_semi").select("frame", "name")
     # fixed words around a name: the words of a mark with each in turn taken out
     words = F.split("name", " ")

@@ -30,6 +30,13 @@ def test_subjects_on_held_out_records(labelled):
     assert total > 0.95 * (len(labelled) - half) and hit / total > 0.82  # a tenth of the stored codes are wrong
 
 
+def test_threshold_of_sentences_is_the_calibrated_one(labelled):
+    codes = {c for _, cs in labelled for c in cs}
+    half = len(labelled) * 2 // 3
+    curve = subjects.calibrated_sentence(labelled[half:], subjects.curate_terms(labelled[:half], codes).automaton())
+    assert subjects.SENTENCE in curve and curve[subjects.SENTENCE] >= max(curve.values()) - 0.004 and curve[3.0] < curve[subjects.SENTENCE]
+
+
 def test_subjects_of_awkward_rows(spark, labelled):
     terms = subjects.curate_terms(labelled[:1500], {c for _, cs in labelled for c in cs})
     shared = spark.sparkContext.broadcast(terms)
