@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,7 +70,7 @@ _C = "฀-๿぀-ヿ㐀-鿿가-힣"
 _UNIT = re.compile(rf"[{_C}]|(?:[^\W\d_{_C}]|[̀-ͯऀ-ःऺ-ॏ'])+")
 _PARTED = re.compile(rf"{_UNIT.pattern}|(?:{_BREAK.pattern})")
 _UNSPACED = 1 << 63
-_SAME = re.compile(r"[\d\s!-/:-@\[-`{-~]+")
+_SAME = dict.fromkeys(map(ord, string.digits + string.punctuation + "๐๑๒๓๔๕๖๗๘๙०१२३४५६७८९０１２３４５６７８９"), " ")
 #: A mark of any notation: signs, a name, signs. Ordinary punctuation is none.
 _ANY_MARK = re.compile(r"(?<![\w&])([^\w\s.,;'\"“”‘’()…、。，！।-][^\w\s.,;'\"“”‘’()…、。，！।]{0,3})(?=\S|\s\w)\s?([^\W\d_][\w. ]*?)\s?([^\w\s.,;'\"“”‘’()…、。，！।]{0,3}[^\w\s.,;'\"“”‘’()…、。，！।-])(?!\w)")
 #: Marks in plain round brackets, and between low lines.
@@ -100,13 +101,13 @@ def statements(value: str) -> Iterator[str]:
     """The statements of a field without mark-up, digits and signs, in lower case."""
     low, at = _plain(value), 0
     for m in _BREAK.finditer(low):
-        s = _SAME.sub(" ", low[at : m.start()]).strip()
-        if s:
-            yield s
+        words = low[at : m.start()].translate(_SAME).split()
+        if words:
+            yield " ".join(words)
         at = m.end()
-    s = _SAME.sub(" ", low[at:]).strip()
-    if s:
-        yield s
+    words = low[at:].translate(_SAME).split()
+    if words:
+        yield " ".join(words)
 
 
 class _Words(dict):
@@ -156,8 +157,10 @@ def fixed_grams(texts: list[str], words: _Words, wanted: np.ndarray | None = Non
 
 def _bare(value: str) -> str:
     """A field without mark-up and reference codes, in lower case."""
-    x = _REFERENCE.sub("", _TAG.sub(" ", value))
-    return _NUMBERED.sub("", " ".join(x.lower().split()))
+    x = _TAG.sub(" ", value) if "<" in value else value
+    x = _REFERENCE.sub("", x) if "(ref. " in x else x
+    x = " ".join(x.lower().split())
+    return _NUMBERED.sub("", x) if x.endswith(")") else x
 
 
 def is_message(value: str | None) -> bool:

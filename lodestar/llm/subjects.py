@@ -35,17 +35,37 @@ SHARE = 0.3
 SINGLE, SINGLE_BESIDE = 2.4, 5
 
 
-def _terms(text: str) -> set[str]:
-    low = text.lower()
+def _pieces(text: str) -> tuple[list[list[str]], list[str]]:
+    """Words of each clause, and runs of characters of scripts without spaces."""
+    clauses = _CLAUSE.split(text.lower())
+    return [w for w in map(_WORD.findall, clauses) if w], [r for c in clauses for r in _RUN.findall(c)]
+
+
+def _short_terms(pieces: tuple[list[list[str]], list[str]]) -> set[str]:
+    """Single words, and the shortest runs of characters."""
+    words, runs = pieces
+    found = {w for clause in words for w in clause}
+    for run in runs:
+        for n in (CHARS[0],) if run[0] < "぀" else (2, CHARS[0]):
+            found.update(run[i : i + n] for i in range(len(run) - n + 1))
+    return found
+
+
+def _long_terms(pieces: tuple[list[list[str]], list[str]], often: set[str]) -> set[str]:
+    """Longer terms whose first parts all occur often; no other can occur often itself."""
+    words, runs = pieces
     found: set[str] = set()
-    for clause in _CLAUSE.split(low):
-        words = _WORD.findall(clause)
-        for n in range(1, WORDS + 1):
-            found.update(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
-        for run in _RUN.findall(clause):
-            for n in CHARS if run[0] < "぀" else (2, *CHARS):
-                found.update(run[i : i + n] for i in range(len(run) - n + 1))
-    return {t for t in found if len(t) > 1}
+    for clause in words:
+        ok = [w in often for w in clause]
+        for i in range(len(clause) - 1):
+            if ok[i] and ok[i + 1]:
+                found.add(clause[i] + " " + clause[i + 1])
+                found.update(" ".join(clause[i : i + n]) for n in range(3, WORDS + 1) if i + n <= len(clause) and all(ok[i + 2 : i + n]))
+    for run in runs:
+        for i in range(len(run) - CHARS[0]):
+            if run[i : i + CHARS[0]] in often:
+                found.update(run[i : i + n] for n in CHARS[1:] if i + n <= len(run))
+    return found
 
 
 @dataclass
@@ -74,22 +94,28 @@ def curate_terms(labelled: Iterable[tuple[str, list[str]]], subjects: set[str])
     """
     total: Counter = Counter()
     by: dict[str, Counter] = defaultdict(Counter)
-    rows = 0
-    for text, labels in labelled:
-        own = set(labels or ()) & subjects
-        if not text or not own:
-            continue
-        rows += 1
-        for term in _terms(text):
-            total[term] += 1
-            by[term].update(own)
-    least = max(4, rows // 1500)
+    held = [(_pieces(text), own) for text, labels in labelled if text and (own := set(labels or ()) & subjects)]
+    least = max(4, len(held) // 1500)
+    short = [_short_terms(p) for p, _ in held]
+    for terms in short:
+        total.update(terms)
+    often = {t for t, n in total.items() if n >= least}
+    every = [(terms & often) | _long_terms(p, often) for terms, (p, _) in zip(short, held)]
+    for terms, few in zip(every, short):
+        total.update(terms - few)
+    often = {t for t, n in total.items() if n >= least and len(t) > 1}
+    for terms, (_, own) in zip(every, held):
+        for subject in own:
+            by[subject].update(terms & often)
+    best: dict[str, tuple[int, str]] = {}
+    for subject in sorted(by):
+        for term, k in by[subject].items():
+            if k > best.get(term, (0, ""))[0]:
+                best[term] = (k, subject)
     kept: dict[str, tuple[str, float]] = {}
-    for term in sorted(total, key=len):
+    for term in sorted(best, key=lambda t: (len(t), t)):
         n = total[term]
-        if n < least:
-            continue
-        subject, k = by[term].most_common(1)[0]
+        k, subject = best[term]
         if k < PURITY * n:
             continue
         weight = round(math.log((k + 0.5) / (n - k + 0.5 + 8 / n)), 3)
