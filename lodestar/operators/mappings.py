@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import clean_space
 from lodestar.operators import taxonomy
 from lodestar.operators.packed import split_packed
+from lodestar.storage import written
 
 NOTHING = "Technology"
 # Upper-case words of a patent list's categories and the sector each stands for, first match first. Fixed values.
@@ -133,6 +134,8 @@ def native_classified(df: DataFrame, middle_code: str, primary_code: str, middle
     broadcast. Blank codes and labels match nothing.
     """
 
+    natives = written(natives, "natives")  # small and asked four times
+
     def side(key: str, name: str) -> DataFrame:
         kept = natives.where(F.length(F.trim(key)) > 0)
         return kept.groupBy(F.trim(key).alias(name)).agg(F.min("codes").alias(f"{name}_codes"))
