@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ ROWS, BANDS = 3, 40
 LETTER_ROWS, LETTER_BANDS = 12, 8
 #: Distinctive parts of fewer letters may differ by one edit (none below ``SHORTEST``), others by two.
 LONG, SHORTEST = 11, 5
+#: Parts of up to this many letters meet by what is left of them without as many letters as edits are allowed, longer ones by bands.
+LISTED = 24
 #: Least Monge-Elkan similarity of two distinctive parts.
 SIMILAR = 0.84
 # Words of institution names with their usual short forms. Fixed values.
@@ -101,12 +104,11 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
 def collision_curve(similarity: float, rows: int = ROWS, bands: int = BANDS) -> float:
     """Chance that two sets of this Jaccard similarity share a band.
 
-    Two substitutions in eleven letters leave a similarity of 0.5 to the padded 2-grams; the
-    curve gives 0.995 there. Swaps of neighbours cost more of them (two leave 0.33, which
-    the curve gives 0.78), but leave the letters as they are, so further bands are taken
-    over single letters: with a swap and a substitution 2-grams agree by 0.41 and letters
-    by 0.83, which together gives 0.97. In five to ten letters one edit is allowed; those
-    parts also meet by ``one_less``, which misses no single edit, whatever its kind.
+    Bands serve parts of more than ``LISTED`` letters. Two swaps of neighbours, the edits
+    that cost most, leave a similarity of 0.6 to the padded 2-grams of 23 letters; the curve
+    gives 0.9999 there. In short parts the curve is too low (two swaps in eleven letters
+    leave 0.33, which it gives 0.78) and 2-grams of unlike parts agree too often: pairs
+    grow with the square of the names. Those meet by ``shortened``, which misses no edit.
     """
     return 1 - (1 - similarity**rows) ** bands
 
@@ -116,9 +118,14 @@ def allowed_edits(a: str, b: str) -> int:
     return 2 if least >= LONG else 1 if least >= SHORTEST else 0
 
 
-def one_less(core: str) -> list[str]:
-    """A short part and all that is left of it without one letter: parts within one edit, swaps included, have one in common."""
-    return [core, *(core[:i] + core[i + 1 :] for i in range(len(core)))] if len(core) <= LONG else []
+def shortened(core: str) -> set[str]:
+    """A part and all that is left of it without as many letters as edits are allowed.
+
+    A substitution or a swap is undone by leaving out a letter of both parts, a letter added
+    by leaving it out of one; so parts within the allowed edits have one of these in common.
+    """
+    left = {core, *(core[:i] + core[i + 1 :] for i in range(len(core)))}
+    return left | {core[:i] + core[i + 1 : j] + core[j + 1 :] for i, j in combinations(range(len(core)), 2)} if len(core) >= LONG else left
 
 
 @lru_cache(100_000)
@@ -255,16 +262,23 @@ def _bands(grams: list[str], seeds: np.ndarray, bands: int) -> list[bytes]:
 
 
 def band_keys(core: str) -> list[int]:
-    """Keys by which a distinctive part meets others: bands of its padded q-grams and of its letters, and what is left of a short one without a letter."""
-    padded = "^" * (Q - 1) + core + "$" * (Q - 1)
-    met: Counter = Counter()
-    letters = []
-    for c in core:
-        met[c] += 1
-        letters.append(f"{c}{met[c]}")
-    keys = _bands([padded[i : i + Q] for i in range(len(padded) - Q + 1)], _SEEDS, BANDS)
-    keys += _bands(letters or [""], _LETTER_SEEDS, LETTER_BANDS) if len(core) >= LONG else []
-    return [xxhash.xxh3_64_intdigest(k, seed=n) - (1 << 63) for n, k in enumerate(keys)] + [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in set(one_less(core))]
+    """Keys by which a distinctive part meets others: what is left of it without some letters, or bands of its padded q-grams and of its letters where it is long.
+
+    Bands are kept apart by length: parts of more than two letters' difference share none.
+    """
+    keys: list[int] = []
+    if len(core) <= LISTED:
+        keys += [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in shortened(core)]
+    if len(core) > LISTED - 2:  # two letters less than the shortest that has to meet by bands
+        padded = "^" * (Q - 1) + core + "$" * (Q - 1)
+        met: Counter = Counter()
+        letters = []
+        for c in core:
+            met[c] += 1
+            letters.append(f"{c}{met[c]}")
+        bands = _bands([padded[i : i + Q] for i in range(len(padded) - Q + 1)], _SEEDS, BANDS) + _bands(letters, _LETTER_SEEDS, LETTER_BANDS)
+        keys += [xxhash.xxh3_64_intdigest(b"%d %d " % (n, length) + k) - (1 << 63) for n, k in enumerate(bands) for length in range(len(core) - 2, len(core) + 1)]
+    return keys
 
 
 NODE = "node long, kind string, core array<string>, first string, given array<string>, middle string"
@@ -290,8 +304,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cores = batch.column(0).to_pylist()
         keys = [band_keys(c) if len(c) >= SHORTEST - 1 else [] for c in cores]
         rows = np.repeat(np.arange(len(cores)), [len(k) for k in keys])
-        lengths = np.array([len(c) for c in cores], np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(lengths[rows]), pa.array([x for k in keys for x in k], pa.int64())], ["core", "length", "band"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([x for k in keys for x in k], pa.int64())], ["core", "band"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,19 +323,21 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """The side of a join that is sorted, never broadcast: rows multiply in Python and in arrays, which the optimiser's sizes leave out, and a broadcast goes through the driver."""
+    return df.hint("merge")
+
+
 def similar_cores(nodes: DataFrame) -> DataFrame:
     """(core, core2) of all similar distinctive parts, each with itself and both ways.
 
-    Every different part is one row, however many names hold it. Those that share a band
-    and whose lengths are at most two apart are compared exactly; the length is part of
-    the key, so what a frequent band brings together is split by it.
+    Every different part is one row, however many names hold it. Those that share a key
+    are compared exactly.
     """
     cores = written(nodes.groupBy(F.concat_ws("", "core").alias("core")).agg(F.min("core").alias("tokens")), "cores")
-    bands = cores.select("core").repartition(_tasks(nodes)).mapInArrow(_banded, "core string, length int, band long")
-    left = bands.select("band", F.explode(F.array(*[F.col("length") + d for d in range(-2, 3)])).alias("length"), "core")
-    right = bands.select("band", "length", F.col("core").alias("core2"))
-    pairs = left.join(right, ["band", "length"]).where(F.col("core") < F.col("core2")).select("core", "core2").distinct()
-    pairs = pairs.join(cores, "core").join(cores.select(F.col("core").alias("core2"), F.col("tokens").alias("tokens2")), "core2")
+    bands = cores.select("core").repartition(_tasks(nodes)).mapInArrow(_banded, "core string, band long").repartition("band")
+    pairs = bands.join(_merged(bands.select("band", F.col("core").alias("core2"))), "band").where(F.col("core") < F.col("core2")).select("core", "core2").distinct()
+    pairs = pairs.join(_merged(cores), "core").join(_merged(cores.select(F.col("core").alias("core2"), F.col("tokens").alias("tokens2"))), "core2")
     found = written(pairs.mapInArrow(_alike, "core string, core2 string"), "alike")
     return cores.select("core", F.col("core").alias("core2")).unionByName(found).unionByName(found.select(F.col("core2").alias("core"), F.col("core").alias("core2")))
 
@@ -351,7 +366,7 @@ def linked_nodes(nodes: DataFrame) -> DataFrame:
     asking = keyed.select(F.col("node").alias("a"), *parts, "whole", F.explode(F.array_distinct(asks)).alias("key"))
     near = similar_cores(nodes).select(F.col("core").alias("whole"), F.col("core2").alias("whole2"))
     answering = keyed.select(F.col("node").alias("b"), *[F.col(c).alias(c + "2") for c in parts], F.col("whole").alias("whole2"), F.explode(F.array_distinct(answers)).alias("key"))
-    met = asking.join(near, "whole").join(answering, ["whole2", "key"]).where((F.col("a") != F.col("b")) & (F.col("kind") == F.col("kind2")))
+    met = asking.join(_merged(near), "whole").join(_merged(answering), ["whole2", "key"]).where((F.col("a") != F.col("b")) & (F.col("kind") == F.col("kind2")))
     found = met.mapInArrow(_verified, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -370,13 +385,13 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     closed: DataFrame | None = None
     while True:
         rank = F.struct(F.col("weight").alias("w"), F.col("node").alias("n"))
-        beside = both.join(open_nodes.select(F.col("node").alias("b"), rank.alias("r")), "b").groupBy("a").agg(F.max("r").alias("top"))
-        state = open_nodes.join(beside.withColumnRenamed("a", "node"), "node", "left").select("node", "weight", "top", rank.alias("r"))
+        beside = both.join(_merged(open_nodes.select(F.col("node").alias("b"), rank.alias("r"))), "b").groupBy("a").agg(F.max("r").alias("top"))
+        state = open_nodes.join(_merged(beside.withColumnRenamed("a", "node")), "node", "left").select("node", "weight", "top", rank.alias("r"))
         centres = state.where(F.col("top").isNull() | (F.col("r") > F.col("top"))).select("node", "weight")
-        taken = both.join(centres.select(F.col("node").alias("b"), rank.alias("r")), "b").groupBy("a").agg(F.max("r").getField("n").alias("centre")).withColumnRenamed("a", "node")
-        done = written(centres.select("node", F.col("node").alias("centre")).unionByName(taken.join(open_nodes.select("node"), "node", "left_semi").select("node", "centre")).groupBy("node").agg(F.min("centre").alias("centre")), "stars")
+        taken = both.join(_merged(centres.select(F.col("node").alias("b"), rank.alias("r"))), "b").groupBy("a").agg(F.max("r").getField("n").alias("centre")).withColumnRenamed("a", "node")
+        done = written(centres.select("node", F.col("node").alias("centre")).unionByName(taken.join(_merged(open_nodes.select("node")), "node", "left_semi").select("node", "centre")).groupBy("node").agg(F.min("centre").alias("centre")), "stars")
         closed = done if closed is None else closed.unionByName(done)
-        rest = written(open_nodes.join(done, "node", "left_anti"), "open")
+        rest = written(open_nodes.join(_merged(done), "node", "left_anti"), "open")
         if rest.isEmpty():
             return closed
         open_nodes = rest
@@ -387,8 +402,9 @@ def link_names(df: DataFrame, name: str, nicknames: list[tuple[str, str]]) -> Da
 
     Distinct spellings are counted first, so a name that fills a third of all rows is one
     row from there on; spellings that parse alike become one node, and equal distinctive
-    parts one row of the search. MinHash bands over padded q-grams of these give
-    candidates, parsed parts are compared exactly, and star clustering forms the classes. Null and blank names are left out.
+    parts one row of the search. Parts that are equal without as many letters as edits are
+    allowed are candidates (long ones by MinHash bands over padded q-grams), parsed parts
+    are compared exactly, and star clustering forms the classes. Null and blank names are left out.
     """
     names = df.where(F.length(F.trim(F.col(name))) > 0).groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("weight"))
     parsed = written(parsed_names(names.repartition(_tasks(df), "name"), nicknames), "names")
@@ -396,9 +412,9 @@ def link_names(df: DataFrame, name: str, nicknames: list[tuple[str, str]]) -> Da
     nodes = written(nodes, "nodes")
     edges = written(linked_nodes(nodes), "edges")
     stars = star_clusters(nodes, edges)
-    return parsed.select("name", "node").join(stars, "node").select("name", F.col("centre").alias("entity"))
+    return parsed.select("name", "node").join(_merged(stars), "node").select("name", F.col("centre").alias("entity"))
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:
     """(name_a, name_b): all pairs of different spellings of one entity, the smaller in byte order first."""
-    return linked.select("entity", F.col("name").alias("name_a")).join(linked.select("entity", F.col("name").alias("name_b")), "entity").where(F.col("name_a") < F.col("name_b")).select("name_a", "name_b")
+    return linked.select("entity", F.col("name").alias("name_a")).join(_merged(linked.select("entity", F.col("name").alias("name_b"))), "entity").where(F.col("name_a") < F.col("name_b")).select("name_a", "name_b")

@@ -106,3 +106,47 @@ def test_common_surnames_are_not_compared_all_with_all(spark, monkeypatch):
     got = {tuple(r) for r in names.linked_nodes(nodes).collect()}
     want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if names.same_entity(a[1:], b[1:])}
     assert got == want and len(want) > 100
+
+
+def test_no_join_over_names_goes_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def recorded(df, label):
+        plans.append((label, df))
+        return stored(df, label)
+
+    stored = names.written
+    monkeypatch.setattr(names, "written", recorded)
+    df = spark.createDataFrame([(n,) for s in SAME for n in s], "org_name string")
+    pairs = names.spelling_pairs(names.link_names(df, "org_name", NICKS))
+    assert pairs.count() > 20
+    plans.append(("pairs", pairs))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    for label, df in plans:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString(), label
+    assert sum("Join" in df._jdf.queryExecution().executedPlan().toString() for _, df in plans) >= 4
+
+
+@pytest.mark.parametrize("length", (5, 9, 10, 11, 12, 13, 16, 22, 24))
+def test_no_accepted_pair_is_missed_and_unlike_parts_do_not_meet(length):
+    rng = random.Random(length)
+    syllable = lambda: rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") + rng.choice("bdfgklmnprstvz")
+    words = ["".join(syllable() for _ in range(length // 3 + 1))[:length] for _ in range(300)]
+    for word in words:
+        other = _edited(rng, word, rng.choices(("swap", "put", "add", "drop"), k=2 if length >= 11 else 1))
+        if names.within(word, other, names.allowed_edits(word, other)):
+            assert set(names.band_keys(word)) & set(names.band_keys(other)), (word, other)
+    if 11 <= length <= 22:
+        keys = [set(names.band_keys(w)) for w in words]
+        met = [(a, b) for a, b in itertools.combinations(range(len(words)), 2) if keys[a] & keys[b]]
+        assert len(met) <= 5, len(met)
+
+
+@pytest.mark.parametrize("length", (25, 26, 30))
+def test_long_parts_meet_by_bands_of_like_length(length):
+    rng = random.Random(length)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for w in [word(length) for _ in range(100)]:
+        for other in (w[2:], w[:10] + w[11:], w + "ab", w[1] + w[0] + w[2:-2] + w[-1] + w[-2]):
+            assert set(names.band_keys(w)) & set(names.band_keys(other)), (w, other)
+        assert not set(names.band_keys(w)) & set(names.band_keys(w + "abc"))
